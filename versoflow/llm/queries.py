@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from versoflow.llm import packing, tokenizer
+from versoflow.llm import lookalikes, packing, spam, tokenizer
 
 QUERIES = {
+    "p4_found": lookalikes.p4_found,
+    "p4_canonical": lookalikes.p4_canonical,
     "p6_ids": tokenizer.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
+    "p8_found": spam.p8_found,
+    "p8_evidence": spam.p8_evidence,
 }
 
 #: None of these can be said in SQL; tests/llm holds them against brute force.
