@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from versoflow.llm import lookalikes, packing, spam, tokenizer
+from versoflow.llm import lookalikes, ocr_noise, packing, spam, tokenizer
 
 QUERIES = {
+    "p1_found": ocr_noise.p1_found,
     "p4_found": lookalikes.p4_found,
     "p4_canonical": lookalikes.p4_canonical,
     "p6_ids": tokenizer.p6_ids,
