@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoflow.plans import general
+from versoflow.plans import evidence, general, logs
 
-MODULES = [general]
+MODULES = [general, evidence, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p5_found(spark, sf_dir)
+    return evidence.risk_score(spark, sf_dir)
