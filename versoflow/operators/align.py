@@ -89,8 +89,9 @@ def align_pages(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     cols = ["page_id", "line_index", "text", "x", "y", "height"]
 
     def one(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        page = int((p if len(p) else s).page_id.iloc[0])
+        page = int(p.page_id.iloc[0] if len(p) else s.other_page.iloc[0])
         rows = [(page, k, a, b, sim) for k, (a, b, sim) in enumerate(align_page(p, s))]
         return pd.DataFrame(rows, columns=["page_id", "pair_no", "primary_members", "secondary_members", "similarity"])
 
-    return primary.select(*cols).groupBy("page_id").cogroup(secondary.select(*cols).groupBy("page_id")).applyInPandas(one, SCHEMA)
+    other = secondary.select(*[F.col(c).alias("other_page" if c == "page_id" else c) for c in cols])
+    return primary.select(*cols).groupBy("page_id").cogroup(other.groupBy("other_page")).applyInPandas(one, SCHEMA)

@@ -34,7 +34,7 @@ def slowest(events: DataFrame, key: str, value: str, k: int) -> DataFrame:
 def sessions(events: DataFrame, key: str, at: str, idle_seconds: int) -> DataFrame:
     """Activity runs with no pause longer than ``idle_seconds``."""
     by = W.partitionBy(key).orderBy(at)
-    t = F.unix_micros(at)
+    t = F.unix_micros(F.col(at).cast("timestamp"))
     new = F.coalesce((t - F.lag(t).over(by) > idle_seconds * 1_000_000).cast("int"), F.lit(1))
     e = events.withColumn("_n", new).withColumn("session", F.sum("_n").over(by.rangeBetween(W.unboundedPreceding, 0)))
     return e.groupBy(key, "session").agg(F.count("*").alias("events"), F.min(at).alias("begins"), F.max(at).alias("ends"))

@@ -503,6 +503,6 @@ def similarity_ratio(spark, d):
 def align_full(spark, d):
     """Alignment of the newest whole-page runs of the two readers of every page."""
     last = journal.latest_engine_run(runs(spark, d))
-    names = last.agg(F.min("engine").alias("a"), F.max("engine").alias("b"))
-    side = lambda c: lines(spark, d).join(last.join(F.broadcast(names), last["engine"] == names[c]).select("run_id", "page_id"), "run_id")  # noqa: E731 - one row
-    return align.align_pages(side("a"), side("b"))
+    first, second = last.agg(F.min("engine"), F.max("engine")).first()  # two names
+    side = lambda name: lines(spark, d).join(last.where(F.col("engine") == name).select("run_id", "page_id"), "run_id")
+    return align.align_pages(side(first), side(second))

@@ -101,11 +101,11 @@ def corpus_strata(spark, d):
     return g.select(F.coalesce("lang", F.lit("(none)")).alias("lang"), "source", "documents", "with_text", "chars")
 
 
-@query("""WITH c AS (SELECT doc_id, i AS at, substr(text, i, 1) AS was FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE regexp_matches(text, '[，。！？；：]')) ) SELECT doc_id, CAST(at AS INT) AS at, was, translate(was, '，。！？；：', ',.!?;:') AS becomes FROM c WHERE was IN ('，', '。', '！', '？', '；', '：')""")
+@query("""WITH c AS (SELECT doc_id, i AS "at", substr(text, i, 1) AS was FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE regexp_matches(text, '[，。！？；：]'))) SELECT doc_id, CAST(c."at" AS INT) AS place, was, translate(was, '，。！？；：', ',.!?;:') AS becomes FROM c WHERE was IN ('，', '。', '！', '？', '；', '：')""")
 def change_log(spark, d):
     t = table(spark, d, "documents").where(F.col("text").rlike("[，。！？；：]"))
     c = t.select("doc_id", F.posexplode(F.split("text", "")).alias("k", "was")).where(F.col("was").isin(*"，。！？；："))
-    return c.select("doc_id", (F.col("k") + 1).cast("int").alias("at"), "was", F.translate("was", "，。！？；：", ",.!?;:").alias("becomes"))
+    return c.select("doc_id", (F.col("k") + 1).cast("int").alias("place"), "was", F.translate("was", "，。！？；：", ",.!?;:").alias("becomes"))
 
 
 @query("""WITH m AS (SELECT l_returnflag, year(l_shipdate) AS y, sum(l_extendedprice * l_discount) / sum(l_extendedprice) AS rate FROM lineitem GROUP BY 1, 2), p AS (SELECT l_returnflag, y + 1 AS y, rate FROM m)
