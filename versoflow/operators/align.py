@@ -11,6 +11,7 @@ cogrouped map holds two small frames, and no page meets another.
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,11 @@ LONELY, MAX_GROUP, NEAR = -1.5, 3, 0.08
 SCHEMA = "page_id bigint, pair_no int, primary_members array<bigint>, secondary_members array<bigint>, similarity double"
 
 
+@functools.lru_cache(maxsize=20_000)
 def similarity(a: str, b: str) -> float:
     """Matching-blocks ratio; both empty 1, one empty 0."""
-    if not a or not b:
-        return float(not a and not b)
+    if a == b or not a or not b:
+        return float(a == b)
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
@@ -39,47 +41,60 @@ def similar(a: Column, b: Column) -> Column:
     return F.when(la == lb, F.lit(1.0)).otherwise(similarity_udf(F.when(la != lb, a), F.when(la != lb, b)))
 
 
-def _group_score(p: pd.DataFrame, s: pd.DataFrame) -> float | None:
-    pc, sc = (p.y + p.height / 2).mean(), (s.y + s.height / 2).mean()
-    if abs(pc - sc) > NEAR:
-        return None
-    extra = len(p) + len(s) - 2
-    sim = similarity(" ".join(p.text.fillna("")).lower(), " ".join(s.text.fillna("")).lower())
-    if extra and sim < 0.7:
-        return None
-    lap = max(0.0, min(p.y.max() + p.height.max(), s.y.max() + s.height.max()) - max(p.y.min(), s.y.min()))
-    size = max(1e-9, min(p.y.max() + p.height.max() - p.y.min(), s.y.max() + s.height.max() - s.y.min()))
-    return 4 * sim + 0.5 * min(1.0, lap / size) - 0.25 * extra + 2.25 * sim * extra
+class _Side:
+    """Lines of one reading in reading order, with the joined text and box of short groups."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        rows = sorted(zip(pdf.y.fillna(0.0).tolist(), pdf.x.fillna(0.0).tolist(), pdf.line_index.tolist(), pdf.height.fillna(0.0).tolist(), pdf.text.fillna("").tolist(), strict=True))
+        self.index = [int(r[2]) for r in rows]
+        self.top, self.foot = [r[0] for r in rows], [r[0] + r[3] for r in rows]
+        self.text = [r[4] for r in rows]
+
+    def group(self, end: int, size: int) -> tuple[str, float, float, float]:
+        k = slice(end - size, end)
+        top, foot = min(self.top[k]), max(self.foot[k])
+        return " ".join(self.text[k]), top, foot, sum(a + b for a, b in zip(self.top[k], self.foot[k], strict=True)) / (2 * size)
 
 
 def align_page(p: pd.DataFrame, s: pd.DataFrame) -> list[tuple[list[int], list[int], float]]:
     """Best path; ties prefer smaller groups on the primary, then on the secondary side."""
-    p, s = p.sort_values(["y", "x", "line_index"]).reset_index(drop=True), s.sort_values(["y", "x", "line_index"]).reset_index(drop=True)
-    n, m = len(p), len(s)
-    best = [[(0.0, None)] * (m + 1) for _ in range(n + 1)]
+    one, two = _Side(p), _Side(s)
+    n, m = len(one.index), len(two.index)
+    left = {(i, a): one.group(i, a) for i in range(1, n + 1) for a in range(1, min(MAX_GROUP, i) + 1)}
+    right = {(j, b): two.group(j, b) for j in range(1, m + 1) for b in range(1, min(MAX_GROUP, j) + 1)}
+    shapes = [(1, 1), *((1, b) for b in range(2, MAX_GROUP + 1)), *((a, 1) for a in range(2, MAX_GROUP + 1))]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    step: dict[tuple[int, int], tuple[int, int]] = {}
     for i in range(n + 1):
         for j in range(m + 1):
             if not i and not j:
                 continue
             options = []
             if i:
-                options.append((best[i - 1][j][0] + LONELY, (1, 0)))
+                options.append((best[i - 1][j] + LONELY, -1, 0))
             if j:
-                options.append((best[i][j - 1][0] + LONELY, (0, 1)))
-            for a in range(1, min(MAX_GROUP, i) + 1):
-                for b in range(1, min(MAX_GROUP, j) + 1):
-                    if a > 1 and b > 1:
-                        continue
-                    sc = _group_score(p.iloc[i - a : i], s.iloc[j - b : j])
-                    if sc is not None:
-                        options.append((best[i - a][j - b][0] + sc, (a, b)))
-            best[i][j] = max(options, key=lambda o: (o[0], -o[1][0], -o[1][1]))
+                options.append((best[i][j - 1] + LONELY, 0, -1))
+            for a, b in shapes:
+                if a > i or b > j:
+                    continue
+                (ta, a0, a1, ac), (tb, b0, b1, bc) = left[i, a], right[j, b]
+                if abs(ac - bc) > NEAR:
+                    continue
+                extra = a + b - 2
+                if extra and 2 * min(len(ta), len(tb)) < 0.7 * (len(ta) + len(tb)):
+                    continue  # too unlike in length to be similar enough
+                sim = similarity(ta.lower(), tb.lower())
+                if extra and sim < 0.7:
+                    continue
+                lap = max(0.0, min(a1, b1) - max(a0, b0)) / max(1e-9, min(a1 - a0, b1 - b0))
+                options.append((best[i - a][j - b] + 4 * sim + 0.5 * min(1.0, lap) - 0.25 * extra + 2.25 * sim * extra, -a, -b))
+            score, a, b = max(options)
+            best[i][j], step[i, j] = score, (-a, -b)
     out, i, j = [], n, m
     while i or j:
-        a, b = best[i][j][1]
-        pi, sj = p.iloc[i - a : i], s.iloc[j - b : j]
-        sim = similarity(" ".join(pi.text.fillna("")), " ".join(sj.text.fillna(""))) if a and b else 0.0
-        out.append(([int(x) for x in pi.line_index], [int(x) for x in sj.line_index], round(sim, 6)))
+        a, b = step[i, j]
+        sim = similarity(left[i, a][0], right[j, b][0]) if a and b else 0.0
+        out.append((one.index[i - a : i], two.index[j - b : j], round(sim, 6)))
         i, j = i - a, j - b
     return out[::-1]
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from versoflow.functions import geometry as gm
 from versoflow.functions import labels as lb
 from versoflow.functions import text as tx
-from versoflow.operators import align, journal, measure, risk, structure
+from versoflow.operators import align, evaluate, journal, measure, risk, structure
 from versoflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,7 +502,89 @@ def similarity_ratio(spark, d):
 @query()
 def align_full(spark, d):
     """Alignment of the newest whole-page runs of the two readers of every page."""
+    return align.align_pages(*_two_runs(spark, d))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query()
+def wer_line(spark, d):
+    """Word errors of the second reading against the first; null for languages without spaced words."""
+    p = pages(spark, d).select(F.col("id").alias("page_id"), "project_id")
+    lang = table(spark, d, "projects").select(F.col("id").alias("project_id"), "lang").distinct()
+    t = two_sides(spark, d).where("p_text is not null and s_text is not null").join(p, "page_id").join(lang, "project_id")
+    return t.select("page_id", "pair_index", evaluate.word_errors(F.col("p_text"), F.col("s_text"), F.col("lang")).alias("w")).select("page_id", "pair_index", "w.edits", "w.words")
+
+
+@query(_CER + """, m AS (SELECT page_id, pair_index, regexp_replace(a, '[^!-/:-@\\[-`{-~]', '', 'g') AS r, regexp_replace(b, '[^!-/:-@\\[-`{-~]', '', 'g') AS h FROM t)
+SELECT page_id, pair_index, round(CASE WHEN length(r) > 0 THEN greatest(0.0, 1 - levenshtein(r, h) / length(r)) WHEN levenshtein(r, h) = 0 THEN 1.0 ELSE 0.0 END, 6) AS accuracy FROM m""")
+def punctuation_accuracy(spark, d):
+    return ascii_pairs(spark, d).select("page_id", "pair_index", F.round(evaluate.punctuation_accuracy(F.col("p_text"), F.col("s_text")), 6).alias("accuracy"))
+
+
+def _two_runs(spark, d) -> tuple[DataFrame, DataFrame]:
     last = journal.latest_engine_run(runs(spark, d))
     first, second = last.agg(F.min("engine"), F.max("engine")).first()  # two names
     side = lambda name: lines(spark, d).join(last.where(F.col("engine") == name).select("run_id", "page_id"), "run_id")
-    return align.align_pages(side(first), side(second))
+    return side(first), side(second)
+
+
+@query()
+def line_errors(spark, d):
+    """Lines missing, extra and changed in the second reader's page against the first's."""
+    a, b = (x.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "id", "text"))), lambda s: s["text"]).alias(n)) for x, n in zip(_two_runs(spark, d), ("a", "b"), strict=True))
+    j = a.join(b, "page_id", "full_outer").select("page_id", F.coalesce("a", F.array().cast("array<string>")).alias("a"), F.coalesce("b", F.array().cast("array<string>")).alias("b"))
+    return j.select("page_id", evaluate.line_errors("a", "b").alias("e")).select("page_id", "e.missing", "e.extra", "e.changed")
+
+
+@query()
+def box_matches(spark, d):
+    a, b = _two_runs(spark, d)
+    return evaluate.box_matches(a, b)
+
+
+@query(f"""WITH {_ALI}, {_LIN}, {_RUN}, tr AS (SELECT DISTINCT page_id, primary_members, secondary_members FROM ali WHERE len(primary_members) > 0 AND len(secondary_members) > 0),
+fo AS (SELECT DISTINCT a.page_id, [p.line_index] AS primary_members, [s.line_index] AS secondary_members FROM (SELECT DISTINCT page_id, primary_run_id, secondary_run_id FROM ali) a JOIN lin p ON p.run_id = a.primary_run_id JOIN lin s ON s.run_id = a.secondary_run_id AND s.line_index = p.line_index),
+g AS (SELECT coalesce(tr.page_id, fo.page_id) AS page_id, count(*) FILTER (tr.page_id IS NOT NULL AND fo.page_id IS NOT NULL) AS tp, count(*) FILTER (tr.page_id IS NULL) AS fp, count(*) FILTER (fo.page_id IS NULL) AS fn FROM tr FULL JOIN fo ON tr.page_id = fo.page_id AND tr.primary_members = fo.primary_members AND tr.secondary_members = fo.secondary_members GROUP BY 1),
+q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS r FROM g)
+SELECT page_id, tp, fp, fn, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM q""")
+def alignment_scores(spark, d):
+    """Pairing by equal line numbers, scored against the recorded alignments."""
+    a = alignments(spark, d)
+    truth = a.where("size(primary_members) > 0 and size(secondary_members) > 0")
+    two = a.select("page_id", "primary_run_id", "secondary_run_id").distinct()
+    side = lambda n: lines(spark, d).select(F.col("run_id").alias(f"{n}_run_id"), "line_index").distinct()
+    found = two.join(side("primary"), "primary_run_id").join(side("secondary"), ["secondary_run_id", "line_index"]).select("page_id", F.array("line_index").alias("primary_members"), F.array("line_index").alias("secondary_members"))
+    return evaluate.group_scores(truth, found, "page_id").withColumn("f1", F.round("f1", 6))
+
+
+@query()
+def label_sequences(spark, d):
+    """Page labels in monotone runs; a fold per book, so without an oracle."""
+    return evaluate.sequences(structure.page_labels(placed_lines(spark, d)))
+
+
+@query(f"""WITH {_LIN}, {_RUN}, {_PAG}, w AS (SELECT r.page_id, max(r.id) AS run_id FROM run r JOIN lin l ON l.run_id = r.id WHERE scope IS NULL GROUP BY 1), b AS (SELECT pag.project_id, pag.page_index, l.* FROM w JOIN lin l ON l.run_id = w.run_id JOIN pag ON pag.id = w.page_id WHERE l.y > 0.1 AND l.y < 0.9),
+f AS (SELECT b.project_id, page_index, min_by(x, (line_index, id)) > 0.11 AS first_indented, max_by(text, (line_index, id)) AS last_text FROM b GROUP BY 1, 2),
+n AS (SELECT *, CASE WHEN page_index - lag(page_index) OVER v = 1 AND NOT regexp_matches(rtrim(lag(last_text) OVER v), '[。！？；：…!?;:.][”’」』）】》〉〕］\"'')\\]]*$') AND NOT first_indented THEN 0 ELSE 1 END AS s FROM f WINDOW v AS (PARTITION BY project_id ORDER BY page_index))
+SELECT project_id, page_index, CAST(sum(s) OVER (PARTITION BY project_id ORDER BY page_index) AS BIGINT) AS flow FROM n""")
+def page_flow(spark, d):
+    has = lines(spark, d).select("run_id").distinct()
+    w = runs(spark, d).where("scope is null").join(has, F.col("id") == F.col("run_id"), "left_semi").groupBy("page_id").agg(F.max("id").alias("run_id"))
+    p = pages(spark, d).select(F.col("id").alias("page_id"), F.col("project_id").alias("book"), "page_index")
+    b = lines(spark, d).where("y > 0.1 and y < 0.9").join(w, "run_id").join(p, "page_id")
+    at = F.struct("line_index", "id")
+    f = b.groupBy(F.col("book").alias("project_id"), "page_index").agg((F.min_by("x", at) > 0.11).alias("first_indented"), F.max_by("text", at).alias("last_text"))
+    return evaluate.page_turns(f)
+
+
+@query(f"""WITH {_RUN}, {_SIDES}, a AS (SELECT page_id, CAST(string_split(scope, ':')[2] AS BIGINT) AS pair_index, count(*) AS attempts FROM run WHERE scope LIKE 'pair:%' GROUP BY 1, 2)
+SELECT a.page_id, a.pair_index, attempts, round(greatest(0, x0 - least(0.10, 0.01 + 0.02 * attempts)), 6) AS x, round(least(1, x0 + (x1 - x0) + least(0.10, 0.01 + 0.02 * attempts)) - greatest(0, x0 - least(0.10, 0.01 + 0.02 * attempts)), 6) AS width, CAST(least(4, 1 + attempts) AS INT) AS scale FROM a JOIN sid ON sid.page_id = a.page_id AND sid.pair_index = a.pair_index AND side = 'primary'""")
+def reread_regions(spark, d):
+    """The region of the next attempt at each line that was read again."""
+    r = runs(spark, d).where("scope like 'pair:%'").groupBy("page_id", F.split("scope", ":")[1].cast("bigint").alias("pair_index")).agg(F.count("*").alias("attempts"))
+    t = pair_texts(spark, d).where("side = 'primary'")
+    c = F.col
+    j = r.join(t, ["page_id", "pair_index"]).withColumn("g", evaluate.escalated_region(c("x0"), c("y0"), c("x1") - c("x0"), c("y1") - c("y0"), c("attempts")))
+    return j.select("page_id", "pair_index", "attempts", F.round("g.x", 6).alias("x"), F.round("g.width", 6).alias("width"), c("g.scale").cast("int").alias("scale"))
