@@ -108,5 +108,8 @@ def align_pages(primary: DataFrame, secondary: DataFrame) -> DataFrame:
         rows = [(page, k, a, b, sim) for k, (a, b, sim) in enumerate(align_page(p, s))]
         return pd.DataFrame(rows, columns=["page_id", "pair_no", "primary_members", "secondary_members", "similarity"])
 
+    # Few bytes and much work: partitions are set by number, or they would be merged by size.
+    sc = primary.sparkSession.sparkContext
+    n = max(sc.defaultParallelism, int(primary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     other = secondary.select(*[F.col(c).alias("other_page" if c == "page_id" else c) for c in cols])
-    return primary.select(*cols).groupBy("page_id").cogroup(other.groupBy("other_page")).applyInPandas(one, SCHEMA)
+    return primary.select(*cols).repartition(n, "page_id").groupBy("page_id").cogroup(other.repartition(n, "other_page").groupBy("other_page")).applyInPandas(one, SCHEMA)
