@@ -6,6 +6,7 @@ from versoflow.llm import lookalikes, ocr_noise, packing, spam, tokenizer
 
 QUERIES = {
     "p1_found": ocr_noise.p1_found,
+    "p1_paragraphs": ocr_noise.p1_paragraphs,
     "p4_found": lookalikes.p4_found,
     "p4_canonical": lookalikes.p4_canonical,
     "p6_ids": tokenizer.p6_ids,
