@@ -353,24 +353,49 @@ def consensus_vote(spark, d):
 _CER = f"""WITH {_SIDES}, {_PAG}, t AS (SELECT p.page_id, p.pair_index, p.text AS a, s.text AS b FROM sid p JOIN sid s ON s.page_id = p.page_id AND s.pair_index = p.pair_index AND p.side = 'primary' AND s.side = 'secondary' WHERE regexp_full_match(p.text, '[ -~]*') AND regexp_full_match(s.text, '[ -~]*'))"""
 
 
+def both_sides(spark, d) -> DataFrame:
+    return two_sides(spark, d).where("p_text is not null and s_text is not null")
+
+
 def ascii_pairs(spark, d) -> DataFrame:
-    t = two_sides(spark, d).where("p_text is not null and s_text is not null")
+    """The pairs on which SQL's distance of bytes is one of characters."""
+    t = both_sides(spark, d)
     return t.where(F.col("p_text").rlike("^[ -~]*$") & F.col("s_text").rlike("^[ -~]*$"))
 
 
 @query(_CER + " SELECT page_id, pair_index, levenshtein(a, b) AS edits, length(a) AS chars, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN levenshtein(a, b) = 0 THEN 0.0 ELSE 1.0 END, 6) AS cer FROM t")
 def cer_line(spark, d):
+    return _cer_line(ascii_pairs(spark, d))
+
+
+@query()
+def cer_line_all(spark, d):
+    """``cer_line`` of all pairs with two sides, in characters; SQL counts bytes there."""
+    return _cer_line(both_sides(spark, d))
+
+
+def _cer_line(pairs: DataFrame) -> DataFrame:
     e, n = F.levenshtein("p_text", "s_text"), F.length("p_text")
-    return ascii_pairs(spark, d).select("page_id", "pair_index", e.alias("edits"), n.alias("chars"), F.round(measure.error_rate(e, n), 6).alias("cer"))
+    return pairs.select("page_id", "pair_index", e.alias("edits"), n.alias("chars"), F.round(measure.error_rate(e, n), 6).alias("cer"))
 
 
 @query(_CER + """, c AS (SELECT project_id, levenshtein(a, b) AS e, length(a) AS n, CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN levenshtein(a, b) = 0 THEN 0.0 ELSE 1.0 END AS r FROM t JOIN pag ON pag.id = t.page_id),
  g AS (SELECT project_id, count(*) AS lines, sum(e) AS edits, sum(n) AS chars, avg(r) AS m FROM c GROUP BY 1)
  SELECT project_id, lines, edits, chars, round(edits / chars, 6) AS micro_cer, round(m, 6) AS macro_cer, round(greatest(0, ((edits / chars) + 1.959963984540054 * 1.959963984540054 / (2 * chars)) / (1 + 1.959963984540054 * 1.959963984540054 / chars) - 1.959963984540054 * sqrt(greatest(0, (edits / chars) * (1 - edits / chars) / chars + 1.959963984540054 * 1.959963984540054 / (4.0 * chars * chars))) / (1 + 1.959963984540054 * 1.959963984540054 / chars)), 6) AS low FROM g WHERE chars > 0""")
 def cer_strata(spark, d):
+    return _cer_strata(ascii_pairs(spark, d), pages(spark, d))
+
+
+@query()
+def cer_strata_all(spark, d):
+    """``cer_strata`` of all pairs with two sides."""
+    return _cer_strata(both_sides(spark, d), pages(spark, d))
+
+
+def _cer_strata(pairs: DataFrame, of: DataFrame) -> DataFrame:
     e, n = F.levenshtein("p_text", "s_text"), F.length("p_text")
-    p = pages(spark, d).select(F.col("id").alias("page_id"), "project_id")
-    c = ascii_pairs(spark, d).join(p, "page_id").select("project_id", e.alias("e"), n.alias("n"), measure.error_rate(e, n).alias("r"))
+    p = of.select(F.col("id").alias("page_id"), "project_id")
+    c = pairs.join(p, "page_id").select("project_id", e.alias("e"), n.alias("n"), measure.error_rate(e, n).alias("r"))
     g = c.groupBy("project_id").agg(F.count("*").alias("lines"), F.sum("e").alias("edits"), F.sum("n").alias("chars"), F.avg("r").alias("m")).where("chars > 0")
     low, _ = measure.wilson(F.col("edits"), F.col("chars"))
     return g.select("project_id", "lines", "edits", "chars", F.round(F.col("edits") / F.col("chars"), 6).alias("micro_cer"), F.round("m", 6).alias("macro_cer"), F.round(low, 6).alias("low"))
@@ -520,7 +545,17 @@ def wer_line(spark, d):
 @query(_CER + """, m AS (SELECT page_id, pair_index, regexp_replace(a, '[^!-/:-@\\[-`{-~]', '', 'g') AS r, regexp_replace(b, '[^!-/:-@\\[-`{-~]', '', 'g') AS h FROM t)
 SELECT page_id, pair_index, round(CASE WHEN length(r) > 0 THEN greatest(0.0, 1 - levenshtein(r, h) / length(r)) WHEN levenshtein(r, h) = 0 THEN 1.0 ELSE 0.0 END, 6) AS accuracy FROM m""")
 def punctuation_accuracy(spark, d):
-    return ascii_pairs(spark, d).select("page_id", "pair_index", F.round(evaluate.punctuation_accuracy(F.col("p_text"), F.col("s_text")), 6).alias("accuracy"))
+    return _punctuation(ascii_pairs(spark, d))
+
+
+@query()
+def punctuation_accuracy_all(spark, d):
+    """``punctuation_accuracy`` of all pairs with two sides, CJK marks among them."""
+    return _punctuation(both_sides(spark, d))
+
+
+def _punctuation(pairs: DataFrame) -> DataFrame:
+    return pairs.select("page_id", "pair_index", F.round(evaluate.punctuation_accuracy(F.col("p_text"), F.col("s_text")), 6).alias("accuracy"))
 
 
 def _two_runs(spark, d) -> tuple[DataFrame, DataFrame]:
