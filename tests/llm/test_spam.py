@@ -65,3 +65,35 @@ def test_null_ids_empty_tables_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a", "h"), (1, ", ".join(["gilt edges"] * 40), None), (1, ", ".join(["gilt edges"] * 40), None)], "doc_id bigint, text string, source string")
     assert [r.doc_id for r in spam.spam_pages(df).collect()] == [1]
     assert spam.spam_pages(df.where("false")).count() == 0
+
+
+def test_phrases_shifted_by_a_word_and_short_phrases_count(spark):
+    phrase = "seldom crowded lantern merchants gather pewter spoons"
+    shifted = [phrase, "today " + phrase, "blue heavy " + phrase]
+    mk = lambda texts: spark.createDataFrame([(k, t, f"h{k}") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    size = sum(map(len, phrase.split()))
+    assert [r.replicated for r in spam.spam_evidence(mk(shifted)).orderBy("doc_id").collect()] == [size] * 3
+    lists = ["gilt edges, antique map\nledger", "ledger, gilt edges, other thing", "antique map, gilt edges, ledger"]
+    assert [r.replicated for r in spam.spam_evidence(mk(lists)).orderBy("doc_id").collect()] == [15, 15, 15]
+
+
+def test_replicated_is_the_union_found_by_brute_force(spark):
+    rnd = random.Random(5)
+    docs = [", ".join(" ".join(rnd.choice("abcdef") * 3 for _ in range(rnd.randrange(1, 9))) for _ in range(6)) for _ in range(40)]
+    phrases = [[tuple(p.split()) for p in t.split(", ")] for t in docs]
+    grams = lambda p: [(k, p[k : k + 5]) for k in range(len(p) - 4)] if len(p) >= 5 else [(0, p)]
+    on = {}
+    for k, ps in enumerate(phrases):
+        for p in ps:
+            for _, g in grams(p):
+                on.setdefault(g, set()).add(k % 7)
+    df = spark.createDataFrame([(k, t, f"h{k % 7}") for k, t in enumerate(docs)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in spam.spam_evidence(df).collect()}
+    sure = 0
+    for k, ps in enumerate(phrases):
+        want = sum(3 * len({i + j for i, g in grams(p) if len(on[g]) >= 3 for j in range(len(g))}) for p in ps)
+        if got[k].listed == 0:
+            sure += 1
+            assert got[k].replicated == want
+        assert got[k].replicated <= want
+    assert sure

@@ -2,14 +2,15 @@
 
 Each page becomes a sequence of words, with a link, a tag or a number as one word each
 and, where no spaces part them, two Chinese characters or kana counting as a word.
-Phrases (stretches between marks of punctuation and line ends) are tiled by shingles of
-five words, and every shingle's distinct hosts are counted over the whole corpus. A page
+Phrases (stretches between marks of punctuation and line ends) give a shingle of five
+words from every word on, phrases of fewer words one of the whole, and the distinct hosts
+of every shingle that may count are counted over the whole corpus. A page
 is flagged when most of its characters are stitched together from
 
 * list items: links with their labels, tags, and two-word phrases that the page repeats
   so often that they make up a good part of it, with the few words between them, and
 * phrases found on at least ``MIN_HOSTS`` hosts that are no sentence parts: at most one of
-  the five words is a function word.
+  the five words is a function word, none of a shorter phrase, which stands in no sentence.
 
 Sentences are full of function words and repeat little, registers repeat nothing but
 numbers, tables of contents are known by their rising page numbers; copied prose is on
@@ -114,8 +115,8 @@ class PageReader:
         self.known = _Words()
 
     def read(self, text: str | None):
-        """``(n, listed, hashes, weights)``: characters in words, characters in list items, and each tile with the characters it would add as a replicated phrase."""
-        none = (0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        """``(n, listed, hashes, begins, ends)``: characters in words, characters in list items, and each shingle that is no part of a sentence with its place among the characters that phrases could add."""
+        none = (0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         if not text or text.isspace():
             return none
         t = text if text.isascii() else INVISIBLE.sub("", text)
@@ -166,25 +167,33 @@ class PageReader:
         listed = np.zeros(m, bool)
         listed[words_at] = hit
         total, inside = int(size[words_at].sum()), 0 if self._contents(t) else int(size[listed].sum())
-        # Tiles: five words from the start of each phrase on, the last one shorter.
+        # Shingles: five words from every word of a phrase on, shorter phrases whole.
         first = np.r_[True, phrase[1:] != phrase[:-1]]
-        at = np.arange(m)
-        offset = at - np.maximum.accumulate(np.where(first, at, 0))
-        starts = np.flatnonzero(offset % SHINGLE == 0)
-        ends = np.r_[starts[1:], m]
-        full = ends - starts == SHINGLE
-        starts = starts[full]
-        if not len(starts):
-            return total, inside, none[2], none[3]
-        h = np.zeros(len(starts), np.uint64)
-        functions = np.zeros(len(starts), np.int32)
-        adds = np.zeros(len(starts), np.int64)
+        adds = np.r_[0, np.cumsum(np.where(listed | (kind == 4), 0, size))]
+        starts = np.flatnonzero(phrase[: 1 - SHINGLE] == phrase[SHINGLE - 1 :]) if m >= SHINGLE else np.zeros(0, np.int64)
+        h, functions = self._hashed(code, kind, starts, np.full(len(starts), SHINGLE))
+        keep = functions <= 1
+        head = np.flatnonzero(first)
+        short = np.diff(np.r_[head, m])
+        head, short = head[short < SHINGLE], short[short < SHINGLE]
+        head, short = head[~real[sentence[head]]], short[~real[sentence[head]]]
+        g, functions = self._hashed(code, kind, head, short)
+        whole = functions == 0
+        begin = np.r_[starts[keep], head[whole]]
+        end = np.r_[starts[keep] + SHINGLE, head[whole] + short[whole]]
+        return total, inside, np.r_[h[keep], g[whole]], adds[begin].astype(np.int32), adds[end].astype(np.int32)
+
+    @staticmethod
+    def _hashed(code: np.ndarray, kind: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and function words of the stretches of up to five words."""
+        h, functions = lengths.astype(np.uint64), np.zeros(len(starts), np.int32)
         for k in range(SHINGLE):
-            h = (h ^ code[starts + k]) * MIX
-            h ^= h >> np.uint64(29)
-            functions += kind[starts + k] == 1
-            adds += np.where(listed[starts + k] | (kind[starts + k] == 4), 0, size[starts + k])
-        return total, inside, h, np.where(functions <= 1, adds, 0).astype(np.int32)
+            on = lengths > k
+            at = np.where(on, starts + k, starts)
+            x = (h ^ code[at]) * MIX
+            h = np.where(on, x ^ (x >> np.uint64(29)), h)
+            functions += on & (kind[at] == 1)
+        return h, functions
 
     @staticmethod
     def _contents(text: str) -> bool:
@@ -221,30 +230,31 @@ _READER: list[PageReader] = []
 
 
 def read_pages(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, n, listed, tiles`` with tiles as ``array<struct<h, w>>``; one row per row of ``docs``."""
+    """``doc_id, host, n, listed, tiles`` with tiles as ``array<struct<h, a, b>>``; one row per row of ``docs``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _READER:
             _READER.append(PageReader())
         read = _READER[0].read
         for b in it:
-            n, listed, hs, ws, ends = [], [], [], [], [0]
+            n, listed, hs, froms, tos, ends = [], [], [], [], [], [0]
             for text in b.column(2).to_pylist():
-                a, c, h, w = read(text)
+                a, c, h, begin, end = read(text)
                 n.append(a)
                 listed.append(c)
                 hs.append(h)
-                ws.append(w)
+                froms.append(begin)
+                tos.append(end)
                 ends.append(ends[-1] + len(h))
             h = np.concatenate(hs).view(np.int64) if hs else np.zeros(0, np.int64)
-            w = np.concatenate(ws) if ws else np.zeros(0, np.int32)
-            tiles = pa.StructArray.from_arrays([pa.array(h), pa.array(w)], ["h", "w"])
+            begin, end = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (froms, tos))
+            tiles = pa.StructArray.from_arrays([pa.array(h), pa.array(begin), pa.array(end)], ["h", "a", "b"])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(listed, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tiles)],
                 names=["doc_id", "host", "n", "listed", "tiles"],
             )
 
-    schema = "doc_id bigint, host string, n bigint, listed bigint, tiles array<struct<h: bigint, w: int>>"
+    schema = "doc_id bigint, host string, n bigint, listed bigint, tiles array<struct<h: bigint, a: int, b: int>>"
     return docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(batches, schema)
 
 
@@ -259,11 +269,14 @@ def spam_evidence(docs: DataFrame, min_hosts: int = MIN_HOSTS) -> DataFrame:
     seen = pages.select(F.xxhash64(F.coalesce("host", F.lit(""))).alias("host"), F.explode("tiles.h").alias("h"))
     hosts = seen.groupBy("h", "host").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("hosts"))
     often = hosts.where(F.col("hosts") >= min_hosts).select("h")
-    open_ = pages.where("n > 0 and listed < n").select("doc_id", F.explode(F.filter("tiles", lambda x: x["w"] > 0)).alias("t")).select("doc_id", "t.h", "t.w")
-    added = open_.join(often, "h").groupBy("doc_id").agg(F.sum("w").alias("replicated"))
-    one = pages.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("listed").alias("listed"), F.count("*").alias("_rows"))
+    open_ = pages.where("n > 0 and listed < n").select("doc_id", F.explode(F.filter("tiles", lambda x: x["b"] > x["a"])).alias("t")).select("doc_id", "t.h", "t.a", "t.b")
+    # The union of overlapping shingles, also of repeated rows: what each adds beyond the end of those before.
+    spans = open_.join(often, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).alias("sum"))
+    added = spans.select("doc_id", F.aggregate("s", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"]).alias("replicated"))
+    one = pages.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("listed").alias("listed"))
     both = one.join(added, "doc_id", "left")
-    return both.select("doc_id", "n", "listed", F.coalesce(F.col("replicated") / F.col("_rows"), F.lit(0.0)).alias("replicated"))
+    return both.select("doc_id", "n", "listed", F.coalesce(F.col("replicated").cast("double"), F.lit(0.0)).alias("replicated"))
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:
