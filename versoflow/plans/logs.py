@@ -49,6 +49,14 @@ def event_pivot(spark, d):
     return p.join(e.groupBy("day").agg(F.count("*").alias("all_events")), "day")
 
 
+@query("SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error, count(*) AS all_events FROM events GROUP BY 1")
+def event_pivot_all(spark, d):
+    """``event_pivot`` with a column for each of the five types of events."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    p = e.groupBy("day").pivot("event_type", ["click", "view", "purchase", "signup", "error"]).count().na.fill(0)
+    return p.join(e.groupBy("day").agg(F.count("*").alias("all_events")), "day")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
