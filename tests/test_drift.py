@@ -62,3 +62,25 @@ def test_unified_reads_every_name_and_type(spark):
     u = {(r.file_no, r.record_id): r for r in drift.unified(df).collect()}
     assert u[1, "3"].risk_score == pytest.approx(0.3) and u[2, "3"].risk_score == pytest.approx(0.3)
     assert u[1, "3"].page_index == 3 and u[2, "3"].other == {"colour": "red"}
+
+
+def test_unified_takes_one_payload_whole_and_names_misfits(spark):
+    rows = [{"id": 1, "width": 900, "height": 10}, {"id": 1, "width": 10, "height": 900}, {"width": 5}, {"id": 2, "width": "wide", "height": True}]
+    u = {(r.record_id, r.width): r for r in drift.unified(feed(spark, {1: rows})).collect()}
+    assert (u["1", 10].height, len(u)) == (900, 3) and u[None, 5].height is None
+    assert u["2", None].misfits == ["width"] and u["2", None].height == 1
+
+
+def test_alias_table_goes_both_ways_and_in_chains():
+    assert drift.alias_table([("score", "risk"), ("risk", "risk_score"), ("a", "b")], ["risk_score", "b"]) == {"risk_score": "risk_score", "b": "b", "risk": "risk_score", "a": "b", "score": "risk_score"}
+
+
+def test_lifespans_of_types(spark):
+    files = {1: recs(v=1), 2: recs(v="x"), 3: recs(v=None), 4: recs(v="y"), 5: recs(w=1), 6: recs(v=2)}
+    got = {(r.field, r.type, r.first_file, r.last_file) for r in drift.spans(feed(spark, files)).collect() if r.field != "id"}
+    assert got == {("v", "number", 1, 1), ("v", "string", 2, 4), ("w", "number", 5, 5), ("v", "number", 6, 6)}
+
+
+def test_key_written_twice_counts_once_as_last(spark):
+    df = feed(spark, {1: ['{"id": 1, "a": 1, "a": "x"}']})
+    assert [(f["field"], f["type"], f["value"]) for f in drift.read_records(df).first().fields] == [("id", "number", "1"), ("a", "string", "x")]

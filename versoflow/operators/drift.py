@@ -1,7 +1,7 @@
 """Schemas that drift between files: a catalogue of field lifespans, changes and casts.
 
-The top-level keys of every readable record are exploded into one row per feed, file and
-field with the field's type (the footer metadata of row files). ``lag`` over a field's
+The top-level keys of every readable record are counted per feed, file, field and type
+(the footer metadata of row files). ``lag`` over a field's
 files gives the islands in which it was present: an island that does not begin with the
 feed's first file is a start, one that does not end with the last a stop. A start and a
 stop at the same file are one field renamed if the same records hold the same values,
@@ -17,30 +17,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from versoflow.session import cut_lineage, table
+from versoflow.session import bounded_broadcast, cut_lineage
 
 #: Of the records that hold both values, this share must agree for a rename.
 RENAME_AGREE = 0.9
 
 
-def read_fields(records: DataFrame) -> DataFrame:
-    """``feed_id, file_no, record_kind, rec, field, type, value`` of every key of every record.
+def read_records(records: DataFrame) -> DataFrame:
+    """``feed_id, file_no, record_kind, row_no, rec, fields`` of every readable record, parsed once.
 
-    ``type`` is number, string, boolean, array or object, null for a null; ``value`` is
-    the text of the value with an array or object of one value unwrapped.
+    ``fields`` is ``array<struct<field, type, value>>``; ``type`` is number, string,
+    boolean, array or object, null for a null; ``value`` is the text of the value with an
+    array or object of one value unwrapped. Of a key written twice the last counts.
     """
     r = records.where("feed_id is not null and file_no is not null")
-    v = F.try_parse_json("payload")
-    r = r.select("feed_id", "file_no", "record_kind", v.alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    r = r.withColumn("rec", _text(F.try_variant_get("_v", "$.id", "string")))
-    e = r.lateralJoin(r.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    t = F.schema_of_variant("value")
-    kind = (
-        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string")
-        .when(t.isin("VOID"), None).otherwise("number")
-    )
-    text = F.when(t == "VOID", None).otherwise(F.try_variant_get("value", "$", "string"))
-    return e.select("feed_id", "file_no", "record_kind", "rec", F.col("key").alias("field"), kind.alias("type"), _text(text).alias("value")).distinct()
+    r = r.select("feed_id", "file_no", "record_kind", "row_no", F.map_entries(F.from_json("payload", "map<string,variant>")).alias("_m")).where("_m is not null")
+
+    def one(e):
+        t = F.schema_of_variant(e["value"])
+        kind = (
+            F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string")
+            .when(t.isin("VOID") | t.isNull(), None).otherwise("number")
+        )
+        text = F.try_variant_get(e["value"], "$", "string")
+        # Only arrays and objects are unwrapped; of a null there is nothing to read.
+        text = F.when(kind.isin("array", "object"), _text(text)).when(kind.isNotNull(), F.trim(text))
+        return F.struct(e["key"].alias("field"), kind.alias("type"), text.alias("value"))
+
+    later = F.filter("_m", lambda e, i: ~F.exists(F.slice("_m", i + 2, F.size("_m")), lambda x: x["key"] == e["key"]))
+    m = F.when(F.size(F.array_distinct(F.transform("_m", lambda e: e["key"]))) < F.size("_m"), later).otherwise(F.col("_m"))
+    r = r.withColumn("fields", F.transform(m, one))
+    ident = F.try_element_at(F.filter("fields", lambda f: f["field"] == "id"), F.lit(1))
+    return r.select("feed_id", "file_no", "record_kind", "row_no", ident["value"].alias("rec"), "fields")
 
 
 def _text(c):
@@ -49,14 +57,16 @@ def _text(c):
     return F.trim(one)
 
 
-def catalogue(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files ``feed_id, file_no, n`` (n counts from 1) and fields ``feed_id, n, file_no, field, type, fresh, gone``.
+def catalogue(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files ``feed_id, file_no, n, last`` (n counts from 1) and fields ``feed_id, n, file_no, field, type, fresh, gone, isle``.
 
-    A type is what most records of the file have, ties to the alphabetically first.
+    A type is what most rows of the file have, ties to the alphabetically first. Counted
+    where the rows are read, so what is shuffled is a row per file, field and type.
     """
-    files = fields.select("feed_id", "file_no").distinct()
-    files = files.withColumn("n", F.row_number().over(W.partitionBy("feed_id").orderBy("file_no"))).withColumn("last", F.count("*").over(W.partitionBy("feed_id")))
-    typed = fields.groupBy("feed_id", "file_no", "field", "type").agg(F.count("*").alias("k"))
+    typed = parsed.select("feed_id", "file_no", F.explode("fields").alias("f")).groupBy("feed_id", "file_no", F.col("f.field").alias("field"), F.col("f.type").alias("type")).agg(F.count("*").alias("k"))
+    typed = cut_lineage(typed)
+    files = parsed.groupBy("feed_id", "file_no").agg(F.lit(1).alias("one")).drop("one")
+    files = cut_lineage(files.withColumn("n", F.row_number().over(W.partitionBy("feed_id").orderBy("file_no"))).withColumn("last", F.count("*").over(W.partitionBy("feed_id"))))
     types = typed.groupBy("feed_id", "file_no", "field").agg(F.min(F.when(F.col("type").isNotNull(), F.struct((-F.col("k")).alias("k"), F.col("type").alias("type")))).alias("_t"))
     types = types.select("feed_id", "file_no", "field", F.col("_t.type").alias("type"))
     by = W.partitionBy("feed_id", "field").orderBy("n")
@@ -67,14 +77,35 @@ def catalogue(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, cat
 
 
-def renames(fields: DataFrame, files: DataFrame, cat: DataFrame) -> DataFrame:
-    """``feed_id, n, old, new``: each new field at most once, each old one at most once."""
+def lifespans(cat: DataFrame) -> DataFrame:
+    """``feed_id, field, type, isle, first_n, last_n``: islands of one type within each island of a field.
+
+    Files in which the field has only nulls have no type and go on with the one before.
+    """
+    by = W.partitionBy("feed_id", "field", "isle").orderBy("n")
+    t = cat.where("type is not null").withColumn("_begins", (~F.lag("type").over(by).eqNullSafe(F.col("type"))).cast("int"))
+    t = t.withColumn("_span", F.sum("_begins").over(by))
+    return t.groupBy("feed_id", "field", "isle", "_span").agg(F.first("type").alias("type"), F.min("n").alias("first_n"), F.max("n").alias("last_n")).drop("_span")
+
+
+def renames(parsed: DataFrame, files: DataFrame, cat: DataFrame) -> DataFrame:
+    """``feed_id, n, old, new``: each new field at most once, each old one at most once.
+
+    Values are read only of fields that start or stop, and only in the two files of the change.
+    """
     starts = cat.where("fresh").select("feed_id", "n", F.col("field").alias("new"))
     stops = cat.where("gone").select("feed_id", (F.col("n") + 1).alias("n"), F.col("field").alias("old"))
     both = starts.join(stops, ["feed_id", "n"])
-    numbered = fields.join(files.select("feed_id", "file_no", "n"), ["feed_id", "file_no"])
-    was = numbered.select("feed_id", (F.col("n") + 1).alias("n"), "record_kind", "rec", F.col("field").alias("old"), F.col("value").alias("v0"), F.col("type").alias("t0"))
-    now = numbered.select("feed_id", "n", "record_kind", "rec", F.col("field").alias("new"), F.col("value").alias("v1"), F.col("type").alias("t1"))
+    both = cut_lineage(both)
+    wanted = both.select("feed_id", F.col("n").alias("at"), "n", F.col("new").alias("field"), F.lit(True).alias("is_new")).unionByName(both.select("feed_id", (F.col("n") - 1).alias("at"), "n", F.col("old").alias("field"), F.lit(False).alias("is_new"))).distinct()
+    wanted = wanted.join(files.select("feed_id", "file_no", F.col("n").alias("at")), ["feed_id", "at"])
+    # The rows of a file are filtered where they are read; a file's list of fields is a row of the catalogue.
+    lists = wanted.groupBy("feed_id", "file_no").agg(F.collect_set(F.struct("field", "n", "is_new")).alias("wanted"))
+    values = parsed.where("rec is not null").join(bounded_broadcast(lists, lists.count()), ["feed_id", "file_no"]).select("feed_id", "record_kind", "rec", F.explode("wanted").alias("w"), "fields")
+    values = values.select("feed_id", "record_kind", "rec", "w.n", "w.field", "w.is_new", F.try_element_at(F.filter("fields", lambda f: f["field"] == F.col("w.field")), F.lit(1)).alias("f")).where("f is not null")
+    values = cut_lineage(values.select("feed_id", "n", "record_kind", "rec", "field", "is_new", F.col("f.type").alias("type"), F.col("f.value").alias("value")).distinct())
+    was = values.where("not is_new").select("feed_id", "n", "record_kind", "rec", F.col("field").alias("old"), F.col("value").alias("v0"), F.col("type").alias("t0"))
+    now = values.where("is_new").select("feed_id", "n", "record_kind", "rec", F.col("field").alias("new"), F.col("value").alias("v1"), F.col("type").alias("t1"))
     held = both.join(was, ["feed_id", "n", "old"]).join(now, ["feed_id", "n", "new", "record_kind", "rec"])
     number = lambda c: F.expr(f"try_cast({c} as double)")
     truth = lambda c: F.when(F.lower(F.col(c)).isin("true", "1"), True).when(F.lower(F.col(c)).isin("false", "0", "0.0"), False).otherwise(number(c) != 0)
@@ -95,10 +126,8 @@ def renames(fields: DataFrame, files: DataFrame, cat: DataFrame) -> DataFrame:
 
 def _retypes(cat: DataFrame, renamed: DataFrame) -> DataFrame:
     """``feed_id, n, field``: the type differs from the last one along the field's lineage."""
-    by = W.partitionBy("feed_id", "field", "isle").orderBy("n")
-    last = F.last("type", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    typed = cat.where("type is not null").withColumn("_was", last)
-    inside = typed.where("_was is not null and type <> _was").select("feed_id", "n", "field")
+    first = W.partitionBy("feed_id", "field", "isle")
+    inside = lifespans(cat).withColumn("_first", F.min("first_n").over(first)).where("first_n > _first").select("feed_id", F.col("first_n").alias("n"), "field")
     isles = cat.groupBy("feed_id", "field", "isle").agg(F.max("n").alias("end"), F.min_by("type", F.when(F.col("type").isNotNull(), F.col("n"))).alias("first_type"), F.min(F.when(F.col("type").isNotNull(), F.col("n"))).alias("at"), F.max_by("type", F.when(F.col("type").isNotNull(), F.col("n"))).alias("last_type"))
     parent = isles.select("feed_id", F.col("field").alias("old"), (F.col("end") + 1).alias("n"), F.col("isle").alias("up"), F.col("last_type").alias("up_type"))
     links = renamed.join(parent, ["feed_id", "n", "old"]).select("feed_id", F.col("new").alias("field"), F.col("n").alias("isle"), "old", "up", "up_type")
@@ -120,10 +149,11 @@ def _retypes(cat: DataFrame, renamed: DataFrame) -> DataFrame:
 
 def changes(records: DataFrame) -> DataFrame:
     """``feed_id, file_no, field, change``: each change of a field against the feed's preceding file."""
-    fields = cut_lineage(read_fields(records))
-    files, cat = catalogue(fields)
+    parsed = read_records(records).persist()
+    files, cat = catalogue(parsed)
     cat = cut_lineage(cat)
-    ren = cut_lineage(renames(fields, files, cat))
+    ren = cut_lineage(renames(parsed, files, cat))
+    parsed.unpersist()
     starts = cat.where("fresh").select("feed_id", "n", "field")
     stops = cat.where("gone").select("feed_id", (F.col("n") + 1).alias("n"), "field")
     added = starts.join(ren.select("feed_id", "n", F.col("new").alias("field")), ["feed_id", "n", "field"], "left_anti")
@@ -135,6 +165,14 @@ def changes(records: DataFrame) -> DataFrame:
     return log.join(files.select("feed_id", "file_no", "n"), ["feed_id", "n"]).select("feed_id", "file_no", "field", "change")
 
 
+def spans(records: DataFrame) -> DataFrame:
+    """``feed_id, field, type, first_file, last_file``: the lifespan of each type of each field of a feed."""
+    files, cat = catalogue(read_records(records))
+    f = files.select("feed_id", "n", "file_no")
+    at = lambda side: f.select("feed_id", F.col("n").alias(f"{side}_n"), F.col("file_no").alias(f"{side}_file"))
+    return lifespans(cut_lineage(cat)).join(at("first"), ["feed_id", "first_n"]).join(at("last"), ["feed_id", "last_n"]).select("feed_id", "field", "type", "first_file", "last_file")
+
+
 #: Fields of the consistent table and their types (fixed values of the data model).
 PAGE_AND_DECISION_FIELDS = {
     "project_id": "bigint", "page_index": "bigint", "pair_index": "bigint", "source_image": "string", "width": "bigint", "height": "bigint",
@@ -143,38 +181,55 @@ PAGE_AND_DECISION_FIELDS = {
 }
 
 
-def alias_table(records: DataFrame, targets: list[str]) -> DataFrame:
-    """``alias, field``: every name under which a field of ``targets`` was found by its values.
+def alias_table(pairs: list[tuple[str, str]], targets: list[str]) -> dict[str, str]:
+    """The field of ``targets`` that each name leads to over renames, in both directions and in chains.
 
-    Renames go both ways and in chains, so names are closed over the proven pairs; there
-    are as many pairs as names, not as records.
+    A name never leads to two fields: the nearest keeps it, of equally near ones the alphabetically first.
     """
-    fields = cut_lineage(read_fields(records))
-    files, cat = catalogue(fields)
-    pairs = renames(fields, files, cat).select("old", "new").distinct()
-    edges = cut_lineage(pairs.union(pairs.select("new", "old")).distinct())
-    known = records.sparkSession.createDataFrame([(t, t) for t in targets], "alias string, field string")
-    n = len(targets)
-    while True:
-        more = known.join(edges, known["alias"] == edges["old"]).select(F.col("new").alias("alias"), "field")
-        # A name never leads to two fields: the alphabetically first keeps it.
-        known = cut_lineage(known.union(more).groupBy("alias").agg(F.min_by("field", F.struct((F.col("alias") != F.col("field")).cast("int"), "field")).alias("field")))
-        m = known.count()
-        if m == n:
-            return known
-        n = m
+    next_: dict[str, set[str]] = {}
+    for a, b in pairs:
+        next_.setdefault(a, set()).add(b)
+        next_.setdefault(b, set()).add(a)
+    known = {t: t for t in targets}
+    edge = sorted(targets)
+    while edge:
+        found: dict[str, str] = {}
+        for name in edge:
+            for x in next_.get(name, ()):
+                if x not in known:
+                    found[x] = min(found.get(x, known[name]), known[name])
+        known |= found
+        edge = sorted(found)
+    return known
 
 
 def unified(records: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
-    """One typed row per feed, file and record; values that don't fit the type become null.
-
-    A boolean for a number reads as 1 or 0. Fields outside the table stay in ``other``.
+    """One typed row per feed, file and record, from one payload: the last of the file by ``row_no``.
+
+    The casts come from the alias table: the names under which a field was found by its
+    values, the field's own name first, of others the first that holds a value. A boolean
+    for a number reads as 1 or 0. Values that don't fit the type become null and are named
+    in ``misfits``. Fields outside the table stay in ``other``. Payloads without an id are
+    records of their own, with a null ``record_id``. Feeds' names are schema, not data:
+    the distinct renames are gathered, as many as there are names.
     """
     targets = targets or PAGE_AND_DECISION_FIELDS
-    names = alias_table(records, list(targets))
-    f = read_fields(records).withColumnRenamed("field", "alias").join(names, "alias", "left")
-    value = F.when((F.col("type") == "boolean") & F.col("field").isin([k for k, t in targets.items() if t in ("bigint", "double")]), F.when(F.col("value") == "true", "1").otherwise("0")).otherwise(F.col("value"))
-    f = f.withColumn("value", value)
-    aggs = [F.max(F.when(F.col("field") == k, F.expr(f"try_cast(value as {t})"))).alias(k) for k, t in targets.items()]
-    other = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("field").isNull() & (F.col("alias") != "id"), F.struct("alias", "value"))))).alias("other")
-    return f.where("rec is not null").groupBy("feed_id", "file_no", "record_kind", F.col("rec").alias("record_id")).agg(*aggs, other)
+    parsed = read_records(records).persist()
+    files, cat = catalogue(parsed)
+    pairs = [tuple(r) for r in renames(parsed, files, cut_lineage(cat)).select("old", "new").distinct().toLocalIterator()]
+    names = alias_table(pairs, list(targets))
+    of = {k: [k, *sorted(a for a, t in names.items() if t == k and a != k)] for k in targets}
+    one = parsed.groupBy("feed_id", "file_no", "record_kind", F.col("rec").alias("record_id"), F.when(F.col("rec").isNull(), F.col("row_no")).alias("_row")).agg(F.max_by("fields", F.struct("row_no", F.xxhash64(F.to_json("fields")))).alias("fields"))
+    cols, misfits = [], []
+    named = lambda a: F.filter("fields", lambda f: (f["field"] == a) & f["value"].isNotNull())
+    for k, t in targets.items():
+        held = F.flatten(F.array(*[named(a) for a in of[k]]))
+        first = F.try_element_at(held, F.lit(1))
+        text = F.when((first["type"] == "boolean") & F.lit(t in ("bigint", "double")), F.when(first["value"] == "true", "1").otherwise("0")).otherwise(first["value"])
+        value = text.try_cast(t)
+        cols.append(value.alias(k))
+        misfits.append(F.when(text.isNotNull() & value.isNull(), F.lit(k)))
+    taken = [*names, "id"]
+    rest = F.filter("fields", lambda f: ~f["field"].isin(taken))
+    other = F.map_from_entries(F.array_sort(F.transform(rest, lambda f: F.struct(f["field"].alias("key"), f["value"].alias("value"))))).alias("other")
+    return one.select("feed_id", "file_no", "record_kind", "record_id", *cols, F.array_compact(F.array(*misfits)).alias("misfits"), other)

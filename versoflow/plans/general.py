@@ -45,6 +45,10 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("other", F.to_json("other"))
 
 
+def p3_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.spans(table(spark, sf_dir, "export_records"))
+
+
 def _build(changes: DataFrame) -> DataFrame:
     return history.build_chains(history.newest_deliveries(changes.select("id", *LINE, "selected_text", "created_at", "delivered_at"), LINE, "id", "delivered_at"), LINE, "created_at", "id", ["selected_text"])
 
@@ -76,5 +80,5 @@ SELECT page_id, pair_index, row_number() OVER w AS version_no, id AS decision_id
 P5_FOUND = _CHAIN.format(more="")
 P5_HISTORY = _CHAIN.format(more=", selected_text, created_at AS valid_from, lead(created_at) OVER w AS valid_to")
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unified": p3_unified, "p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unified": p3_unified, "p3_lifespans": p3_lifespans, "p5_found": p5_found, "p5_history": p5_history}
 ORACLES = {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_history": P5_HISTORY}
