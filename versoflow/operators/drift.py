@@ -24,31 +24,31 @@ RENAME_AGREE = 0.9
 
 
 def read_records(records: DataFrame) -> DataFrame:
-    """``feed_id, file_no, record_kind, row_no, rec, fields`` of every readable record, parsed once.
+    """``feed_id, file_no, record_kind, row_no, digest, rec, fields`` of every readable record, parsed once.
 
-    ``fields`` is ``array<struct<field, type, value>>``; ``type`` is number, string,
-    boolean, array or object, null for a null; ``value`` is the text of the value with an
-    array or object of one value unwrapped. Of a key written twice the last counts.
+    ``fields`` is ``array<struct<field, type, raw>>``; ``type`` is number, string, boolean,
+    array or object, null for a null; the text is read by ``value_of`` where it is needed.
     """
     r = records.where("feed_id is not null and file_no is not null")
-    r = r.select("feed_id", "file_no", "record_kind", "row_no", F.map_entries(F.from_json("payload", "map<string,variant>")).alias("_m")).where("_m is not null")
-
-    def one(e):
-        t = F.schema_of_variant(e["value"])
-        kind = (
-            F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "BOOLEAN", "boolean").when(t == "STRING", "string")
-            .when(t.isin("VOID") | t.isNull(), None).otherwise("number")
-        )
-        text = F.try_variant_get(e["value"], "$", "string")
-        # Only arrays and objects are unwrapped; of a null there is nothing to read.
-        text = F.when(kind.isin("array", "object"), _text(text)).when(kind.isNotNull(), F.trim(text))
-        return F.struct(e["key"].alias("field"), kind.alias("type"), text.alias("value"))
-
-    later = F.filter("_m", lambda e, i: ~F.exists(F.slice("_m", i + 2, F.size("_m")), lambda x: x["key"] == e["key"]))
-    m = F.when(F.size(F.array_distinct(F.transform("_m", lambda e: e["key"]))) < F.size("_m"), later).otherwise(F.col("_m"))
-    r = r.withColumn("fields", F.transform(m, one))
+    r = r.select("feed_id", "file_no", "record_kind", "row_no", F.xxhash64("payload").alias("digest"), F.from_json("payload", "map<string,variant>").alias("_m")).where("_m is not null")
+
+    # Of a key written twice the last counts; most payloads have none.
+    m = F.when(F.size(F.array_distinct(F.map_keys("_m"))) < F.size("_m"), F.filter(F.map_entries("_m"), lambda e, i: ~F.array_contains(F.slice(F.map_keys("_m"), i + 2, F.size("_m")), e["key"]))).otherwise(F.map_entries("_m"))
+    r = r.withColumn("fields", F.transform(m, lambda e: F.struct(e["key"].alias("field"), _kind(F.schema_of_variant(e["value"])).alias("type"), e["value"].alias("raw"))))
     ident = F.try_element_at(F.filter("fields", lambda f: f["field"] == "id"), F.lit(1))
-    return r.select("feed_id", "file_no", "record_kind", "row_no", ident["value"].alias("rec"), "fields")
+    return r.select("feed_id", "file_no", "record_kind", "row_no", "digest", value_of(ident).alias("rec"), "fields")
+
+
+def _kind(t):
+    return (
+        F.when(t == "STRING", "string").when(t.isin("VOID") | t.isNull(), None).when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("number")
+    )
+
+
+def value_of(f):
+    """The text of a field's value; an array or object of one value is unwrapped."""
+    text = F.try_variant_get(f["raw"], "$", "string")
+    return F.when(f["type"].isin("array", "object"), _text(text)).when(f["type"].isNotNull(), F.trim(text))
 
 
 def _text(c):
@@ -103,7 +103,7 @@ def renames(parsed: DataFrame, files: DataFrame, cat: DataFrame) -> DataFrame:
     lists = wanted.groupBy("feed_id", "file_no").agg(F.collect_set(F.struct("field", "n", "is_new")).alias("wanted"))
     values = parsed.where("rec is not null").join(bounded_broadcast(lists, lists.count()), ["feed_id", "file_no"]).select("feed_id", "record_kind", "rec", F.explode("wanted").alias("w"), "fields")
     values = values.select("feed_id", "record_kind", "rec", "w.n", "w.field", "w.is_new", F.try_element_at(F.filter("fields", lambda f: f["field"] == F.col("w.field")), F.lit(1)).alias("f")).where("f is not null")
-    values = cut_lineage(values.select("feed_id", "n", "record_kind", "rec", "field", "is_new", F.col("f.type").alias("type"), F.col("f.value").alias("value")).distinct())
+    values = cut_lineage(values.select("feed_id", "n", "record_kind", "rec", "field", "is_new", F.col("f.type").alias("type"), value_of(F.col("f")).alias("value")).distinct())
     was = values.where("not is_new").select("feed_id", "n", "record_kind", "rec", F.col("field").alias("old"), F.col("value").alias("v0"), F.col("type").alias("t0"))
     now = values.where("is_new").select("feed_id", "n", "record_kind", "rec", F.col("field").alias("new"), F.col("value").alias("v1"), F.col("type").alias("t1"))
     held = both.join(was, ["feed_id", "n", "old"]).join(now, ["feed_id", "n", "new", "record_kind", "rec"])
@@ -219,17 +219,18 @@ def unified(records: DataFrame, targets: dict[str, str] | None = None) -> DataFr
     pairs = [tuple(r) for r in renames(parsed, files, cut_lineage(cat)).select("old", "new").distinct().toLocalIterator()]
     names = alias_table(pairs, list(targets))
     of = {k: [k, *sorted(a for a, t in names.items() if t == k and a != k)] for k in targets}
-    one = parsed.groupBy("feed_id", "file_no", "record_kind", F.col("rec").alias("record_id"), F.when(F.col("rec").isNull(), F.col("row_no")).alias("_row")).agg(F.max_by("fields", F.struct("row_no", F.xxhash64(F.to_json("fields")))).alias("fields"))
+    one = parsed.groupBy("feed_id", "file_no", "record_kind", F.col("rec").alias("record_id"), F.when(F.col("rec").isNull(), F.col("row_no")).alias("_row")).agg(F.max_by("fields", F.struct("row_no", "digest")).alias("fields"))
     cols, misfits = [], []
-    named = lambda a: F.filter("fields", lambda f: (f["field"] == a) & f["value"].isNotNull())
+    named = lambda a: F.filter("fields", lambda f: (f["field"] == a) & f["type"].isNotNull())
     for k, t in targets.items():
         held = F.flatten(F.array(*[named(a) for a in of[k]]))
         first = F.try_element_at(held, F.lit(1))
-        text = F.when((first["type"] == "boolean") & F.lit(t in ("bigint", "double")), F.when(first["value"] == "true", "1").otherwise("0")).otherwise(first["value"])
+        text = value_of(first)
+        text = F.when((first["type"] == "boolean") & F.lit(t in ("bigint", "double")), F.when(text == "true", "1").otherwise("0")).otherwise(text)
         value = text.try_cast(t)
         cols.append(value.alias(k))
         misfits.append(F.when(text.isNotNull() & value.isNull(), F.lit(k)))
     taken = [*names, "id"]
     rest = F.filter("fields", lambda f: ~f["field"].isin(taken))
-    other = F.map_from_entries(F.array_sort(F.transform(rest, lambda f: F.struct(f["field"].alias("key"), f["value"].alias("value"))))).alias("other")
+    other = F.map_from_entries(F.array_sort(F.transform(rest, lambda f: F.struct(f["field"].alias("key"), value_of(f).alias("value"))))).alias("other")
     return one.select("feed_id", "file_no", "record_kind", "record_id", *cols, F.array_compact(F.array(*misfits)).alias("misfits"), other)

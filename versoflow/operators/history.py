@@ -10,6 +10,7 @@ alone, rebuilds all their intervals and replaces these chains as a whole.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,11 +101,15 @@ def apply_updates(history: DataFrame, raw: DataFrame, touched: DataFrame, key: l
 class ChainStore:
     """Chains in hash buckets, each bucket a folder that a manifest names.
 
-    ``replace`` writes new folders for the touched buckets only and then renames one new
-    manifest into place: readers see all old or all new chains.
+    The first ``replace`` sets the number of buckets by the number of changes, so that a
+    bucket has some ``ROWS_A_BUCKET``. ``replace`` writes new folders for the touched
+    buckets only and then creates the next manifest; a manifest that exists can't be
+    created again, so of two writers one fails, and readers see all old or all new chains.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int = 64):
+    ROWS_A_BUCKET = 2_000_000
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int | None = None):
         self.spark, self.root, self.key, self.buckets = spark, root, key, buckets
 
     def _path(self, p: str):
@@ -114,39 +119,46 @@ class ChainStore:
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
+        """The newest manifest that can be read; one that can't belongs to a writer that died."""
         fs, at = self._fs(), self._path(f"{self.root}/manifest")
         names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-        names = [n for n in names if n.endswith(".json")]
-        if not names:
-            return {"version": 0, "folders": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest/{names[-1]}", wholetext=True).first()[0])
+        for name in reversed([n for n in names if n.endswith(".json")]):
+            try:
+                return json.loads(self.spark.read.text(f"{self.root}/manifest/{name}", wholetext=True).first()[0])
+            except (TypeError, ValueError):
+                continue
+        return {"version": 0, "folders": {}, "buckets": self.buckets}
 
     def read(self, buckets: list[int] | None = None) -> DataFrame | None:
         folders = self.manifest()["folders"]
         paths = sorted({f for b, f in folders.items() if buckets is None or int(b) in buckets})
         return self.spark.read.parquet(*paths) if paths else None
 
-    def bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+    def bucket(self, df: DataFrame, buckets: int) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(buckets)).cast("int"))
 
     def replace(self, raw: DataFrame, touched: DataFrame, build: Callable[[DataFrame], DataFrame]) -> int:
         """Rebuild the chains of ``touched``; returns how many buckets were rewritten."""
         old = self.manifest()
-        hit = sorted(r[0] for r in self.bucket(touched).select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+        n = old["buckets"] or max(1, -(-raw.count() // self.ROWS_A_BUCKET))
+        hit = sorted(r[0] for r in self.bucket(touched, n).select("_bucket").distinct().collect())  # at most ``buckets`` numbers
         if not hit:
             return 0
         have = self.read(hit)
-        new = apply_updates(have, raw, touched, self.key, build) if have is not None else build(raw)
+        if have is None:  # nothing to keep in these buckets
+            have = build(raw.where("false"))
+        new = apply_updates(have, raw, touched, self.key, build)
         version = old["version"] + 1
-        base = f"{self.root}/data/v{version:012d}"
-        self.bucket(new).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(base)
+        base = f"{self.root}/data/v{version:012d}-{uuid.uuid4().hex}"
+        # A bucket is written by as many tasks as hold its rows; none of them holds it whole.
+        self.bucket(new, n).write.mode("error").partitionBy("_bucket").parquet(base)
         folders = {b: f for b, f in old["folders"].items() if int(b) not in hit}
         fs = self._fs()
         folders |= {str(b): f"{base}/_bucket={b}" for b in hit if fs.exists(self._path(f"{base}/_bucket={b}"))}
-        name = f"{self.root}/manifest/{version:012d}"
-        out = fs.create(self._path(name + ".tmp"), True)
-        out.write(bytearray(json.dumps({"version": version, "folders": folders}).encode()))
+        try:
+            out = fs.create(self._path(f"{self.root}/manifest/{version:012d}.json"), False)
+        except Exception as e:
+            raise RuntimeError("another writer replaced chains at the same time") from e
+        out.write(bytearray(json.dumps({"version": version, "folders": folders, "buckets": n}).encode()))
         out.close()
-        if fs.exists(self._path(name + ".json")) or not fs.rename(self._path(name + ".tmp"), self._path(name + ".json")):
-            raise RuntimeError("another writer replaced chains at the same time")
         return len(hit)

@@ -49,26 +49,30 @@ def p3_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.spans(table(spark, sf_dir, "export_records"))
 
 
-def _build(changes: DataFrame) -> DataFrame:
-    return history.build_chains(history.newest_deliveries(changes.select("id", *LINE, "selected_text", "created_at", "delivered_at"), LINE, "id", "delivered_at"), LINE, "created_at", "id", ["selected_text"])
+def line_history(raw: DataFrame, runs: DataFrame, attrs: list[str]) -> DataFrame:
+    """Versions of each line's accepted text: what the last succeeded run published, with the chains rebuilt that later deliveries touch."""
 
+    def build(changes: DataFrame) -> DataFrame:
+        return history.build_chains(history.newest_deliveries(changes, LINE, "id", "delivered_at"), LINE, "created_at", "id", attrs)
 
-def line_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of each line's accepted text: what the last succeeded run published, with the chains rebuilt that later deliveries touch."""
-    raw = table(spark, sf_dir, "decisions")
-    runs = table(spark, sf_dir, "sync_runs").where("state = 'succeeded'").agg(F.max("started_at").alias("t")).first()
-    if runs is None or runs["t"] is None:
-        return _build(raw)
-    late = F.coalesce(F.col("delivered_at") >= F.lit(runs["t"]), F.lit(True))
-    return history.apply_updates(_build(raw.where(~late)), raw, raw.where(late), LINE, _build)
+    raw = raw.select("id", *LINE, *attrs, "created_at", "delivered_at")
+    last = runs.where("state = 'succeeded'").agg(F.max("started_at").alias("t")).first()
+    if last is None or last["t"] is None:
+        return build(raw)
+    late = F.coalesce(F.col("delivered_at") >= F.lit(last["t"]), F.lit(True))
+    return history.apply_updates(build(raw.where(~late)), raw, raw.where(late), LINE, build)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_history(spark, sf_dir).select("page_id", "pair_index", "version_no", F.col("id").alias("decision_id"))
+    """Versions without their texts: a text is compared by two hashes, so that none is shuffled."""
+    hashed = lambda f: F.when(F.col("selected_text").isNotNull(), f)
+    raw = table(spark, sf_dir, "decisions").withColumn("a", hashed(F.xxhash64("selected_text"))).withColumn("b", hashed(F.xxhash64(F.lit(1), "selected_text")))
+    return line_history(raw, table(spark, sf_dir, "sync_runs"), ["a", "b"]).select("page_id", "pair_index", "version_no", F.col("id").alias("decision_id"))
 
 
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_history(spark, sf_dir).select("page_id", "pair_index", "version_no", F.col("id").alias("decision_id"), "selected_text", "valid_from", "valid_to")
+    h = line_history(table(spark, sf_dir, "decisions"), table(spark, sf_dir, "sync_runs"), ["selected_text"])
+    return h.select("page_id", "pair_index", "version_no", F.col("id").alias("decision_id"), "selected_text", "valid_from", "valid_to")
 
 
 _CHAIN = """

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    # Unset only in tests and local runs; a cluster names its shared folder.
-    spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "versoflow-checkpoints"))
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="versoflow-checkpoints-")
+        atexit.register(shutil.rmtree, shared, True)
+    spark.sparkContext.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,23 +40,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only if ``rows`` (counted by the caller) is within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """SQL settings (dots written as ``__``) for the plans made within, put back afterwards."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def partitioned_once(spark: SparkSession):
-    """Plans within join and cache by the partitioning they find, also where it is by fewer columns than the join's."""
-    return settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false", spark__sql__optimizer__canChangeCachedPlanOutputPartitioning="false")
