@@ -97,3 +97,13 @@ def test_replicated_is_the_union_found_by_brute_force(spark):
             assert got[k].replicated == want
         assert got[k].replicated <= want
     assert sure
+
+
+def test_stitched_pages_are_flagged_by_their_hosts_alone(spark):
+    rnd = random.Random(8)
+    stock = [" ".join(rnd.sample(WORDS, rnd.randrange(3, 8))) for _ in range(16)]
+    stitched = [". ".join(rnd.sample(stock, 9)) for _ in range(12)]
+    single = [" ".join(rnd.sample(WORDS, 6)) for _ in range(12)]
+    mk = lambda hosts: spark.createDataFrame([(k, t, f"h{k % hosts}") for k, t in enumerate(stitched + single)], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in spam.spam_pages(mk(7)).collect()} == set(range(12))
+    assert spam.spam_pages(mk(1)).count() == 0  # the same phrases on one host

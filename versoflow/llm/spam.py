@@ -3,18 +3,19 @@
 Each page becomes a sequence of words, with a link, a tag or a number as one word each
 and, where no spaces part them, two Chinese characters or kana counting as a word.
 Phrases (stretches between marks of punctuation and line ends) give a shingle of five
-words from every word on, phrases of fewer words one of the whole, and the distinct hosts
-of every shingle that may count are counted over the whole corpus. A page
-is flagged when most of its characters are stitched together from
+words from every word on, phrases of two to four words one of the whole, and the distinct
+hosts of every shingle that may count are counted over the whole corpus. Words of
+sentences (five words and more, many of them function words) give none. A page is flagged
+when most of its characters are stitched together from
 
 * list items: links with their labels, tags, and two-word phrases that the page repeats
   so often that they make up a good part of it, with the few words between them, and
 * phrases found on at least ``MIN_HOSTS`` hosts that are no sentence parts: at most one of
-  the five words is a function word, none of a shorter phrase, which stands in no sentence.
+  the five words is a function word, none of a shorter phrase; three phrases at least, as
+  a page of one sentence that others have too is a copy and not stitched.
 
-Sentences are full of function words and repeat little, registers repeat nothing but
-numbers, tables of contents are known by their rising page numbers; copied prose is on
-many hosts but has no list items.
+Sentences are full of function words and repeat little, registers and indexes have one
+word between their numbers, tables of contents are known by their rising page numbers.
 
 Null, empty and blank texts are no spam. Repeated rows of a ``doc_id`` count once.
 """
@@ -47,8 +48,10 @@ WORD_REPEATS, WORD_COVER = 5, 0.08
 SENTENCE_WORDS, SENTENCE_SHARE = 5, 0.25
 #: Words between two list items that belong to the list.
 GAP = 4
-#: Share of the page's characters from which on it is spam, and the least share in list items.
-SPAM_SHARE, LEAST_LISTED = 0.46, 0.2
+#: Share of the page's characters from which on it is spam: the most part.
+SPAM_SHARE = 0.5
+#: Replicated phrases that a stitched page has at least; a page of one sentence that others have too is a copy.
+PHRASES = 3
 #: A page whose items mostly end in rising numbers is a table of contents.
 CONTENTS_ITEMS, CONTENTS_RISING = 4, 0.9
 
@@ -115,8 +118,8 @@ class PageReader:
         self.known = _Words()
 
     def read(self, text: str | None):
-        """``(n, listed, hashes, begins, ends)``: characters in words, characters in list items, and each shingle that is no part of a sentence with its place among the characters that phrases could add."""
-        none = (0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        """``(n, listed, hashes, begins, ends, phrases)``: characters in words, characters in list items, and each shingle that is no part of a sentence with its place among the characters that phrases could add and its phrase, -1 for a word alone."""
+        none = (0, 0, np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(3)))
         if not text or text.isspace():
             return none
         t = text if text.isascii() else INVISIBLE.sub("", text)
@@ -171,6 +174,7 @@ class PageReader:
         first = np.r_[True, phrase[1:] != phrase[:-1]]
         adds = np.r_[0, np.cumsum(np.where(listed | (kind == 4), 0, size))]
         starts = np.flatnonzero(phrase[: 1 - SHINGLE] == phrase[SHINGLE - 1 :]) if m >= SHINGLE else np.zeros(0, np.int64)
+        starts = starts[~real[sentence[starts]]]
         h, functions = self._hashed(code, kind, starts, np.full(len(starts), SHINGLE))
         keep = functions <= 1
         head = np.flatnonzero(first)
@@ -179,9 +183,12 @@ class PageReader:
         head, short = head[~real[sentence[head]]], short[~real[sentence[head]]]
         g, functions = self._hashed(code, kind, head, short)
         whole = functions == 0
+        # A word alone among marks and numbers is an entry of an index and not a phrase.
+        numbers = np.r_[0, np.cumsum(kind == 4)]
+        several = np.r_[np.ones(int(keep.sum()), bool), (short - numbers[head + short] + numbers[head] >= 2)[whole]]
         begin = np.r_[starts[keep], head[whole]]
         end = np.r_[starts[keep] + SHINGLE, head[whole] + short[whole]]
-        return total, inside, np.r_[h[keep], g[whole]], adds[begin].astype(np.int32), adds[end].astype(np.int32)
+        return total, inside, np.r_[h[keep], g[whole]], adds[begin].astype(np.int32), adds[end].astype(np.int32), np.where(several, phrase[begin], -1).astype(np.int32)
 
     @staticmethod
     def _hashed(code: np.ndarray, kind: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,36 +237,41 @@ _READER: list[PageReader] = []
 
 
 def read_pages(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, n, listed, tiles`` with tiles as ``array<struct<h, a, b>>``; one row per row of ``docs``."""
+    """``doc_id, host, n, listed, tiles`` with tiles as ``array<struct<h, a, b, p>>``; one row per row of ``docs``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _READER:
             _READER.append(PageReader())
         read = _READER[0].read
         for b in it:
-            n, listed, hs, froms, tos, ends = [], [], [], [], [], [0]
+            n, listed, hs, froms, tos, phrases, ends = [], [], [], [], [], [], [0]
             for text in b.column(2).to_pylist():
-                a, c, h, begin, end = read(text)
+                a, c, h, begin, end, of = read(text)
                 n.append(a)
                 listed.append(c)
                 hs.append(h)
                 froms.append(begin)
                 tos.append(end)
+                phrases.append(of)
                 ends.append(ends[-1] + len(h))
             h = np.concatenate(hs).view(np.int64) if hs else np.zeros(0, np.int64)
-            begin, end = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (froms, tos))
-            tiles = pa.StructArray.from_arrays([pa.array(h), pa.array(begin), pa.array(end)], ["h", "a", "b"])
+            begin, end, of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (froms, tos, phrases))
+            tiles = pa.StructArray.from_arrays([pa.array(h), pa.array(begin), pa.array(end), pa.array(of)], ["h", "a", "b", "p"])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(listed, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tiles)],
                 names=["doc_id", "host", "n", "listed", "tiles"],
             )
 
-    schema = "doc_id bigint, host string, n bigint, listed bigint, tiles array<struct<h: bigint, a: int, b: int>>"
+    schema = "doc_id bigint, host string, n bigint, listed bigint, tiles array<struct<h: bigint, a: int, b: int, p: int>>"
     return docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(batches, schema)
 
 
 def spam_evidence(docs: DataFrame, min_hosts: int = MIN_HOSTS) -> DataFrame:
-    """``doc_id, n, listed, replicated`` in characters, of every document with a non-null id.
+    """``doc_id, n, listed, replicated, stitched, phrases``, of every document with a non-null id.
+
+    In characters; ``replicated`` is what shingles found on several hosts cover beyond the
+    list items, ``stitched`` the part of it in phrases of two words and more, ``phrases``
+    the number of these.
 
     Hosts are counted with map-side combining on (shingle, host), so a shingle on a third
     of all pages reaches the reducers once a host and map task. Only shingles that can
@@ -269,20 +281,23 @@ def spam_evidence(docs: DataFrame, min_hosts: int = MIN_HOSTS) -> DataFrame:
     seen = pages.select(F.xxhash64(F.coalesce("host", F.lit(""))).alias("host"), F.explode("tiles.h").alias("h"))
     hosts = seen.groupBy("h", "host").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("hosts"))
     often = hosts.where(F.col("hosts") >= min_hosts).select("h")
-    open_ = pages.where("n > 0 and listed < n").select("doc_id", F.explode(F.filter("tiles", lambda x: x["b"] > x["a"])).alias("t")).select("doc_id", "t.h", "t.a", "t.b")
+    open_ = pages.where("n > 0 and listed < n").select("doc_id", F.explode(F.filter("tiles", lambda x: x["b"] > x["a"])).alias("t")).select("doc_id", "t.*")
     # The union of overlapping shingles, also of repeated rows: what each adds beyond the end of those before.
-    spans = open_.join(often, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
+    spans = open_.join(often, "h").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b", "p"))).alias("s"))
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).alias("sum"))
-    added = spans.select("doc_id", F.aggregate("s", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"]).alias("replicated"))
+    union = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"]).cast("double")
+    several = F.filter("s", lambda x: x["p"] >= 0)
+    added = spans.select("doc_id", union(F.col("s")).alias("replicated"), union(several).alias("stitched"), F.size(F.array_distinct(F.transform(several, lambda x: x["p"]))).alias("phrases"))
     one = pages.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("listed").alias("listed"))
     both = one.join(added, "doc_id", "left")
-    return both.select("doc_id", "n", "listed", F.coalesce(F.col("replicated").cast("double"), F.lit(0.0)).alias("replicated"))
+    return both.select("doc_id", "n", "listed", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("replicated", "stitched")], F.coalesce("phrases", F.lit(0)).alias("phrases"))
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:
     """The flagged documents with their evidence."""
-    e = spam_evidence(docs).withColumn("share", (F.col("listed") + F.col("replicated")) / F.greatest(F.col("n"), F.lit(1)))
-    return e.where((F.col("n") > 0) & (F.col("share") >= SPAM_SHARE) & (F.col("listed") >= LEAST_LISTED * F.col("n")))
+    stitched = F.when(F.col("phrases") >= PHRASES, F.col("stitched")).otherwise(F.lit(0.0))
+    e = spam_evidence(docs).withColumn("share", (F.col("listed") + stitched) / F.greatest(F.col("n"), F.lit(1)))
+    return e.where((F.col("n") > 0) & (F.col("share") >= SPAM_SHARE))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
