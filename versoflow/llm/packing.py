@@ -87,12 +87,13 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """
     kinds = [(r[0], r[1]) for r in containers.select("container", "capacity_tokens").where("container is not null and capacity_tokens > 0").distinct().toLocalIterator()]
     spark = sizes.sparkSession
-    kind_df = bounded_broadcast(spark.createDataFrame(kinds, "container string, _cap bigint"), len(kinds))
+    each_kind = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(c).cast("bigint").alias("cap")) for k, c in kinds]).cast("array<struct<container: string, cap: bigint>>")
     s = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n")).where("doc_id is not null")
     whole = F.floor(F.col("n") / F.col("_cap"))
     cut = F.when(F.col("n") <= F.col("_cap"), F.array(F.struct(F.lit(0).cast("bigint").alias("piece_no"), F.col("n").alias("n_tokens"))))
     pieces = F.transform(F.sequence(F.lit(1), F.ceil(F.col("n") / F.col("_cap"))), lambda i: F.struct(i.cast("bigint").alias("piece_no"), F.when(i <= whole, F.col("_cap")).otherwise(F.col("n") - whole * F.col("_cap")).cast("bigint").alias("n_tokens")))
-    items = s.join(kind_df).withColumn("_p", F.explode(cut.otherwise(pieces))).select("container", "doc_id", "_p.piece_no", "_p.n_tokens")
+    of_kinds = s.withColumn("_kind", F.explode(each_kind)).select("doc_id", "n", "_kind.container", F.col("_kind.cap").alias("_cap"))
+    items = of_kinds.withColumn("_p", F.explode(cut.otherwise(pieces))).select("container", "doc_id", "_p.piece_no", "_p.n_tokens")
     items = items.withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_SLICES)).cast("int"))
 
     per_slice = items.groupBy("container", "n_tokens", "_slice").agg(F.count("*").alias("_n"))
@@ -122,4 +123,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = table(spark, sf_dir, "containers")
     used = p7_containers(spark, sf_dir).groupBy("container", "container_no").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
     by = used.groupBy("container").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.sum("k").alias("pieces"), F.max("n").alias("fullest"))
-    return by.join(F.broadcast(caps), "container").select("container", "containers", "tokens", "pieces", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    return by.join(caps, "container").select("container", "containers", "tokens", "pieces", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
