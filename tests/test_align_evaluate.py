@@ -63,7 +63,9 @@ def test_word_errors_against_brute_force(spark):
 
 def test_line_errors(spark):
     df = spark.createDataFrame([(["a b", "c d", "e f"], ["a b", "c x", "g", "e f"]), ([], ["q"]), (None, [])], "r array<string>, h array<string>")
-    assert [tuple(r.e) for r in df.select(evaluate.line_errors("r", "h").alias("e")).collect()] == [(0, 1, 1), (0, 1, 0), (0, 0, 0)]
+    assert [tuple(r.e) for r in df.select(evaluate.line_errors("r", "h").alias("e")).collect()] == [(1, 2, 1), (0, 1, 0), (0, 0, 0)]
+    chars = spark.createDataFrame([(list("123AB"), list("AB1x2y3"))], "r array<string>, h array<string>")
+    assert tuple(chars.select(evaluate.line_errors("r", "h").alias("e")).first().e) == (2, 4, 2)
 
 
 def test_box_matches_one_to_one(spark):

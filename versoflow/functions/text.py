@@ -12,6 +12,10 @@ CLOSING = "”’」』）】》〉〕］\"')]"
 ANOMALY = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFFFD\\u200B-\\u200F\\u2060\\uFEFF]"
 # Punctuation whose width differs and its ASCII form.
 WIDE, NARROW = "，。！？；：（）［］", ",.!?;:()[]"
+# Marks of punctuation and what they are compared as; full-width ASCII follows by rule.
+MARKS_FOLDED, MARKS_TO = "，、。：；？！（）「」『』“”‘’—–－．", ",,.:;?!()\"\"\"\"\"\"''---."
+_FULL = [chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in MARKS_FOLDED]
+FOLD_FROM, FOLD_TO = MARKS_FOLDED + "".join(_FULL), MARKS_TO + "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
 
 
 def has_anomaly(c: Column | str) -> Column:
@@ -38,6 +42,16 @@ def fold_width(c: Column) -> Column:
     return F.lower(F.translate(c, WIDE, NARROW))
 
 
+def fold_comparison(c: Column) -> Column:
+    """Key for comparing readings: widths, marks of punctuation and case folded, blanks kept. Never shown to a reader."""
+    return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
+
+
+def unrepresentable(c: Column) -> Column:
+    """Whether a text has a control, format or private character other than tab and line end, or the replacement character."""
+    return F.translate(c, "\t\n\r", "").rlike("[\\p{Cc}\\p{Cf}\\p{Co}\\x{FFFD}]")
+
+
 def without_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, "[!-/:-@\\[-`{-~，。！？；：、“”‘’「」『』…—–]", "")
 

@@ -53,25 +53,47 @@ def punctuation_accuracy(reference: Column, hypothesis: Column) -> Column:
 LINE_ERRORS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("missing", "extra", "changed")])
 
 
+def _left_over(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Lines of both that no longest common subsequence holds; of equally long ones that which drops from the second first, seen from the end."""
+    n, m = len(a), len(b)
+    rows = [[0] * (m + 1)]
+    for x in a:
+        up, row = rows[-1], [0]
+        for j, y in enumerate(b):
+            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+        rows.append(row)
+    left, right = [], []
+    i, j = n, m
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif j and (not i or rows[i][j - 1] >= rows[i - 1][j]):
+            j -= 1
+            right.append(j)
+        else:
+            i -= 1
+            left.append(i)
+    return left, right
+
+
 @F.pandas_udf(LINE_ERRORS)
 def line_errors(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """Lines of two arrays that the longest common run leaves over: alike ones count as changed, in order of likeness."""
+    """Lines that the longest common subsequence leaves over on each side, and how many of them are alike (0.5 and more), in order of likeness.
+
+    Changed lines are counted beside the missing and extra ones, not taken from them.
+    """
     rows = []
     for a, b in zip(reference, hypothesis, strict=True):
         a, b = list(a if a is not None else []), list(b if b is not None else [])
-        left, right = [], []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag != "equal":
-                left += range(i, j)
-                right += range(k, m)
-        near = sorted(((-difflib.SequenceMatcher(None, a[i], b[k], autojunk=False).ratio(), i, k) for i in left for k in right if a[i] and b[k]), key=lambda t: t)
+        left, right = _left_over(a, b)
+        near = sorted((-difflib.SequenceMatcher(None, a[i] or "", b[k] or "", autojunk=False).ratio(), i, k) for i in left for k in right)
         used_a: set[int] = set()
         used_b: set[int] = set()
         for score, i, k in near:
             if -score >= 0.5 and i not in used_a and k not in used_b:
                 used_a.add(i)
                 used_b.add(k)
-        rows.append((len(left) - len(used_a), len(right) - len(used_b), len(used_a)))
+        rows.append((len(left), len(right), len(used_a)))
     return pd.DataFrame(rows, columns=["missing", "extra", "changed"])
 
 

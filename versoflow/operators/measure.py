@@ -41,13 +41,17 @@ def vote(readings: DataFrame, keys: list[str]) -> DataFrame:
 
     ``readings`` has ``source, fold, text``; a source counts once per form; ties accept nothing.
     """
-    forms = readings.where("fold is not null and fold <> ''").groupBy(*keys, "fold").agg(F.countDistinct("source").alias("n"), F.min("text").alias("text"))
-    all_ = readings.where("fold is not null and fold <> ''").groupBy(*keys).agg(F.countDistinct("source").alias("sources"))
-    best = forms.groupBy(*keys).agg(F.max("n").alias("top"), F.count("*").alias("forms"), F.max_by("text", F.struct("n", "fold")).alias("text"))
-    second = forms.join(best.select(*keys, "top"), keys).where("n = top").groupBy(*keys).agg(F.count("*").alias("ties"))
-    why = F.when(F.col("sources") < 2, "single_reader").when(F.col("ties") > 1, "tie").when(F.col("forms") == 1, "unanimous").otherwise("majority")
-    out = best.join(second, keys).join(all_, keys).withColumn("rationale", why)
-    return out.select(*keys, F.when(F.col("rationale").isin("unanimous", "majority"), F.col("text")).alias("text"), F.col("top").alias("supporters"), "sources", "rationale")
+    r = readings.where("fold is not null and fold <> ''")
+    forms = r.groupBy(*keys, "fold").agg(F.collect_set("source").alias("by"), F.min("text").alias("text"))
+    forms = forms.withColumn("n", F.size("by"))
+    g = forms.groupBy(*keys).agg(
+        F.max("n").alias("top"), F.count("*").alias("forms"), F.max_by("text", F.struct("n", "fold")).alias("text"),
+        F.collect_list("n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("by")))).cast("bigint").alias("sources"),
+    )
+    ties = F.size(F.filter("_n", lambda n: n == F.col("top")))
+    why = F.when(F.col("sources") < 2, "single_reader").when(ties > 1, "tie").when(F.col("forms") == 1, "unanimous").otherwise("majority")
+    out = g.withColumn("rationale", why)
+    return out.select(*keys, F.when(F.col("rationale").isin("unanimous", "majority"), F.col("text")).alias("text"), F.col("top").cast("bigint").alias("supporters"), "sources", "rationale")
 
 
 def compare(old: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:

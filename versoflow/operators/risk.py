@@ -13,7 +13,11 @@ SURE, SHIFT = 0.80, 0.04
 
 
 def assess(pairs: DataFrame) -> DataFrame:
-    """``score`` and ``reasons`` for ``primary_text, secondary_text, min_confidence, shift``.
+    """``score``, ``content_score`` and ``reasons`` for ``primary_text, secondary_text, min_confidence, shift`` and perhaps ``ambiguous``.
+
+    ``content_score`` is the part that comes from the evidence's quality (an unsure reader,
+    odd characters, boxes apart) and not from disagreement. An ambiguous alignment has a
+    score of 1.
 
     A side without text is a missing line; texts that agree without case and width differ
     as variants only, those that agree without punctuation in punctuation only.
@@ -33,4 +37,10 @@ def assess(pairs: DataFrame) -> DataFrame:
     for _, hit, weight in signals:
         score = score + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
     reasons = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit, _ in signals]))
-    return pairs.withColumn("score", F.least(F.lit(1.0), score)).withColumn("reasons", reasons)
+    content = sum((F.when(hit, F.lit(w)).otherwise(F.lit(0.0)) for hit, w in ((unsure, UNSURE), (odd, ODD_CHARACTER), (moved, MISPLACED))), F.lit(0.0))
+    score = F.least(F.lit(1.0), score)
+    if "ambiguous" in pairs.columns:
+        unclear = F.coalesce(F.col("ambiguous"), F.lit(False))
+        score = F.when(unclear, F.lit(1.0)).otherwise(score)
+        reasons = F.when(unclear, F.array_append(reasons, F.lit("alignment_ambiguity"))).otherwise(reasons)
+    return pairs.withColumn("score", score).withColumn("content_score", F.least(F.lit(1.0), content)).withColumn("reasons", reasons)

@@ -77,9 +77,21 @@ def pair_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_sides(spark: SparkSession, d: str) -> DataFrame:
-    t = pair_texts(spark, d)
-    side = lambda s, p: t.where(F.col("side") == s).select("page_id", "pair_index", *[F.col(c).alias(f"{p}_{c}") for c in ("text", "confidence", "x0", "y0", "x1", "y1")])
-    return side("primary", "p").join(side("secondary", "s"), ["page_id", "pair_index"], "full_outer")
+    """Both sides of every pair in one row, by one aggregation: ``p_`` and ``s_`` columns as of ``pair_texts``."""
+    a = alignments(spark, d)
+    m = journal.members(a, "primary").withColumn("side", F.lit("p")).unionByName(journal.members(a, "secondary").withColumn("side", F.lit("s")))
+    j = m.join(lines(spark, d), ["run_id", "line_index"])
+    aggs = []
+    for p in ("p", "s"):
+        of = lambda c: F.when(F.col("side") == p, c)  # noqa: B023, E731
+        aggs += [
+            F.sort_array(F.collect_list(of(F.struct("member_index", "text")))).alias(f"{p}_t"), F.min(of(F.col("confidence"))).alias(f"{p}_confidence"), F.min(of(F.col("x"))).alias(f"{p}_x0"), F.min(of(F.col("y"))).alias(f"{p}_y0"),
+            F.max(of(F.col("x") + F.col("width"))).alias(f"{p}_x1"), F.max(of(F.col("y") + F.col("height"))).alias(f"{p}_y1"),
+        ]
+    g = j.groupBy("page_id", "pair_index").agg(*aggs)
+    for p in ("p", "s"):
+        g = g.withColumn(f"{p}_text", F.when(F.size(f"{p}_t") > 0, tx.assemble(F.transform(f"{p}_t", lambda x: x["text"]))))
+    return g.select("page_id", "pair_index", *[f"{p}_{c}" for p in ("p", "s") for c in ("text", "confidence", "x0", "y0", "x1", "y1")])
 
 
 _SIDES = f"""{_LIN}, {_ALI},
