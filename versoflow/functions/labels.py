@@ -62,3 +62,29 @@ def entry_kind(title: Column) -> Column:
 
 
 CONTENTS_LINE = "^(.{2,60}?)(?:[ .…·]{2,})([0-9]{1,4}|[ivxlc]{1,8})$"
+
+
+def roman_value(c: Column) -> Column:
+    """Value of a canonical roman numeral in one case, to 3999; null for anything else."""
+    u = F.when(c.rlike("^(?:[ivxlcdm]+|[IVXLCDM]+)$"), F.upper(c))
+    ok = u.rlike("^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
+    value = lambda x: F.element_at(F.create_map(*[F.lit(v) for p in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for v in p]), x)
+    # From the end: a figure less than the one after it is taken away.
+    step = lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.when(x < a["last"], -x).otherwise(x)).alias("sum"))
+    figures = F.transform(F.reverse(F.split(u, "")), value)
+    return F.when(ok, F.aggregate(figures, F.struct(F.lit(0).alias("last"), F.lit(0).alias("sum")), step, lambda a: a["sum"]).cast("bigint"))
+
+
+def cjk_value(c: Column) -> Column:
+    """Value of a Chinese numeral of up to six characters with tens, hundreds and thousands; null for anything else."""
+    figures = F.split(F.when(c.rlike("^[〇零一二三四五六七八九十百千]{1,6}$"), c), "")
+
+    digits = F.create_map(*[v for k, d in enumerate("〇一二三四五六七八九") for v in (F.lit(d), F.lit(k))])
+
+    def step(a: Column, x: Column) -> Column:
+        unit = F.when(x == "十", 10).when(x == "百", 100).when(x == "千", 1000)
+        n = F.when(x == "零", 0).otherwise(F.element_at(digits, x))
+        return F.when(unit.isNull(), F.struct(a["sum"].alias("sum"), n.cast("bigint").alias("now"))).otherwise(F.struct((a["sum"] + F.when(a["now"] == 0, 1).otherwise(a["now"]) * unit).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("now")))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(figures, F.struct(zero.alias("sum"), zero.alias("now")), step, lambda a: a["sum"] + a["now"])

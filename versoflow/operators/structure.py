@@ -25,6 +25,26 @@ def repeated_margins(lines: DataFrame, band: float = FURNITURE_BAND, pages: int
     return m.groupBy("project_id", "margin_text").agg(F.countDistinct("page_id").alias("pages")).where(F.col("pages") >= pages)
 
 
+def page_furniture(lines: DataFrame, band: float = FURNITURE_BAND, pages: int = REPEAT_PAGES) -> DataFrame:
+    """``id, page_id, run_id, line_index, reason`` of margin lines that are no text of the page.
+
+    ``page_number``: the value keeps one distance to the page's place on two pages at
+    least. ``repeated_in_margin``: the folded text stands at the margin of so many pages; a
+    number out of sequence never is, a roman one may be a title. The margin of an upright
+    page lies left and right. A page's only line is text.
+    """
+    of_run = lines.groupBy("run_id").agg((F.sum("height") > F.sum("width")).alias("up"), F.count("*").alias("lines"))
+    edge = lambda a, size: (F.col(a) <= band) | (F.col(a) + F.col(size) >= 1 - band)
+    m = lines.join(of_run, "run_id").where(F.when(F.col("up"), edge("x", "width")).otherwise(edge("y", "height")))
+    t = F.trim("text")
+    m = m.withColumn("key", tx.fold_comparison(F.col("text"))).withColumn("scheme", lb.label_scheme(t)).withColumn("shift", F.when(F.col("scheme") != "unnumbered", lb.label_value(t)) - F.col("page_index"))
+    runs = m.where("shift is not null").groupBy("project_id", "scheme", "shift").agg(F.countDistinct("page_index").alias("n")).where("n >= 2").select("project_id", "scheme", "shift", F.lit(True).alias("_run"))
+    heads = m.where("key <> ''").groupBy("project_id", "key").agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= pages).select("project_id", "key", F.lit(True).alias("_head"))
+    j = m.where("lines > 1").join(runs, ["project_id", "scheme", "shift"], "left").join(heads, ["project_id", "key"], "left")
+    reason = F.when(F.col("_run"), "page_number").when(F.col("_head") & F.col("scheme").isin("unnumbered", "roman"), "repeated_in_margin")
+    return j.withColumn("reason", reason).where("reason is not null").select("id", "page_id", "run_id", "line_index", "reason")
+
+
 def page_labels(lines: DataFrame) -> DataFrame:
     """First numbered margin line of each page: ``project_id, page_id, page_index, scheme, value``."""
     m = lines.where(in_margin(F.col("y"), F.col("height"), LABEL_BAND)).withColumn("scheme", lb.label_scheme(F.trim("text"))).where("scheme <> 'unnumbered'")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoflow.plans import evidence, general, logs
+from versoflow.plans import acceptance, evidence, general, logs
 
-MODULES = [general, evidence, logs]
+MODULES = [general, evidence, acceptance, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
