@@ -31,6 +31,35 @@ def test_equal_texts_are_told_apart_by_place():
     assert [(a, b) for a, b, _ in got] == [([0], []), ([1], [0])]
 
 
+def boxes(*lines):
+    return pd.DataFrame([(1, k, t, *b) for k, (t, b) in enumerate(lines)], columns=["page_id", "line_index", "text", "x", "y", "width", "height"])
+
+
+def test_columns_go_before_equal_texts():
+    left, right = lambda y: (0.05, y, 0.35, 0.04), lambda y: (0.6, y, 0.35, 0.04)
+    p = boxes(("same words", left(0.2)), ("same words", right(0.2)), ("next line", left(0.36)), ("next line", right(0.36)))
+    s = boxes(("same words", right(0.21)), ("same words", left(0.21)), ("next line", right(0.37)), ("next line", left(0.37)))
+    assert {(*a, *b) for a, b, _ in align.align_page(p, s)} == {(0, 1), (1, 0), (2, 3), (3, 2)}
+
+
+@pytest.mark.parametrize("direction", ["vertical-rl", "vertical-lr"])
+def test_upright_columns_split_and_merged(direction):
+    p = boxes(("右列完整文字", (0.7, 0.1, 0.05, 0.4)), ("左列", (0.4, 0.1, 0.05, 0.19)), ("完整文字", (0.4, 0.31, 0.05, 0.19)))
+    s = boxes(("右列", (0.7, 0.1, 0.05, 0.19)), ("完整文字", (0.7, 0.31, 0.05, 0.19)), ("左列完整文字", (0.4, 0.1, 0.05, 0.4)))
+    assert sorted((a, b) for a, b, _ in align.align_page(p, s, direction)) == [([0], [0, 1]), ([1, 2], [2])]
+
+
+def test_close_alternatives_are_ambiguous_and_turned_text_is_not_forced():
+    p = boxes(("same words here", (0.1, 0.3, 0.6, 0.04)))
+    s = boxes(("same words here", (0.1, 0.29, 0.6, 0.04)), ("same words here", (0.1, 0.31, 0.6, 0.04)))
+    got = align.align_page_with_doubt(p, s)
+    assert [x[3] for x in got if x[0] and x[1]] == [True]
+    turned = align.align_page(boxes(("turned line", (0.1, 0.2, 0.8, 0.05))), boxes(("turned line", (0.1, 0.2, 0.05, 0.8))), "horizontal-lr")
+    assert not [x for x in turned if x[0] and x[1]]
+    sure = align.align_page_with_doubt(boxes(("one", (0.1, 0.2, 0.6, 0.04)), ("two", (0.1, 0.4, 0.6, 0.04))), boxes(("one", (0.1, 0.2, 0.6, 0.04)), ("two", (0.1, 0.4, 0.6, 0.04))))
+    assert not any(x[3] for x in sure)
+
+
 def test_align_pages_nulls_and_lonely_pages(spark):
     mk = lambda rows: spark.createDataFrame(rows, "page_id bigint, line_index bigint, text string, x double, y double, height double")
     a = mk([(1, 0, "a b c", 0.1, 0.2, 0.02), (1, 1, None, 0.1, 0.4, 0.02), (2, 0, "x", 0.1, 0.2, 0.02)])

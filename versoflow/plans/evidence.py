@@ -573,7 +573,7 @@ def _punctuation(pairs: DataFrame) -> DataFrame:
 def _two_runs(spark, d) -> tuple[DataFrame, DataFrame]:
     last = journal.latest_engine_run(runs(spark, d))
     first, second = last.agg(F.min("engine"), F.max("engine")).first()  # two names
-    side = lambda name: lines(spark, d).join(last.where(F.col("engine") == name).select("run_id", "page_id"), "run_id")
+    side = lambda name: lines(spark, d).join(last.where(F.col("engine") == name).select("run_id", "page_id"), "run_id").join(runs(spark, d).select(F.col("id").alias("run_id"), "direction"), "run_id")
     return side(first), side(second)
 
 
