@@ -117,3 +117,48 @@ def page_roles(pages: DataFrame, with_text: DataFrame, ink: DataFrame) -> DataFr
     p = pages.select(F.col("id").alias("page_id"), "project_id", "page_index").join(with_text.withColumn("_t", F.lit(True)), "page_id", "left").join(ink, "page_id", "left")
     role = F.when(F.col("_t"), "text").when(F.col("ink_ratio") >= 0.02, "plate").otherwise("blank")
     return p.select("project_id", "page_index", "page_id", role.alias("role"))
+
+
+# Words of a copyright page, headings of a contents page, and shares of ink.
+COPYRIGHT_HINTS = ("isbn", "图书在版编目", "cip", "版权所有", "出版发行", "责任编辑", "印张", "插页", "开本", "字数", "印次", "印刷", "出版社", "出版者")
+CONTENTS_HEADINGS = ("目录", "目次", "contents", "content", "tableofcontents")
+PLATE_INK, COVER_INK, COVER_CHARACTERS = 0.02, 0.5, 40
+NOISE_IN_TITLES = "[\\s，。、；：！？·…—–.,;:!?《》〈〉\"'“”‘’()（）\\[\\]【】-]+"
+
+
+def page_evidence(lines: DataFrame) -> DataFrame:
+    """``page_id, characters, hints, contents, headed`` of pages from their lines (``page_id, line_index, id, text``).
+
+    A page is contents if one of its first three lines says so, or if three lines and at
+    least half of all end in a page number after dots or blanks.
+    """
+    t = F.trim("text")
+    entry = t.rlike(lb.CONTENTS_LINE)
+    head = (F.length(t) <= 30) & ~t.rlike("[。，；：！？,.;:]$") & (lb.entry_kind(t) != "entry")
+    n = lines.where("trim(text) <> ''").select("page_id", F.struct("line_index", "id", t.alias("t")).alias("l"), entry.cast("int").alias("e"), head.cast("int").alias("h"))
+    g = n.groupBy("page_id").agg(F.array_sort(F.collect_list("l")).alias("_l"), F.sum("e").alias("entries"), F.max("h").alias("h"), F.count("*").alias("n"))
+    text = F.lower(F.array_join(F.transform("_l", lambda x: x["t"]), "\n"))
+    hints = sum((F.contains(text, F.lit(h)).cast("int") for h in COPYRIGHT_HINTS), F.lit(0))
+    says = F.exists(F.slice("_l", 1, 3), lambda x: F.regexp_replace(F.lower(x["t"]), NOISE_IN_TITLES, "").isin(*CONTENTS_HEADINGS))
+    return g.select("page_id", F.length(text).alias("characters"), hints.alias("hints"), (says | ((F.col("entries") >= 3) & (2 * F.col("entries") >= F.col("n")))).alias("contents"), (F.col("h") == 1).alias("headed"))
+
+
+def book_roles(pages: DataFrame, evidence: DataFrame, labels: DataFrame, ink: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``project_id, page_index, page_id, role``: what every page of a book is, by rules in their order.
+
+    Without text a page is a plate (a cover if it is the book's first) or blank. A page
+    with text is copyright, contents, cover (the first one with text, short or inked,
+    without number and heading), and else lies before, in or after the body, the longest
+    run of numbers; without such a run it is unknown.
+    """
+    p = pages.select(F.col("id").alias("page_id"), "project_id", "page_index").join(evidence, "page_id", "left").join(labels.select("page_id", F.lit(True).alias("numbered")).distinct(), "page_id", "left").join(ink, "page_id", "left")
+    book = p.groupBy("project_id").agg(F.min("page_index").alias("first_page_of_all"), F.min(F.when(F.col("characters").isNotNull(), F.col("page_index"))).alias("first_text"))
+    p = p.join(book, "project_id").join(bodies.select("project_id", "first_page", "last_page"), "project_id", "left")
+    plain = F.col("numbered").isNull()
+    bare = F.when(F.coalesce(F.col("ink_ratio") >= PLATE_INK, F.lit(False)), F.when(F.col("page_index") == F.col("first_page_of_all"), "cover").otherwise("plate")).otherwise("blank")
+    cover = (F.col("page_index") == F.col("first_text")) & plain & ~F.col("headed") & ((F.col("characters") <= COVER_CHARACTERS) | F.coalesce(F.col("ink_ratio") >= COVER_INK, F.lit(False)))
+    role = (
+        F.when(F.col("characters").isNull(), bare).when((F.col("hints") >= 2) & plain, "copyright").when(F.col("contents"), "contents").when(cover, "cover")
+        .when(F.col("first_page").isNull(), "unknown").when(F.col("page_index") < F.col("first_page"), "front_matter").when(F.col("page_index") <= F.col("last_page"), "body").otherwise("back_matter")
+    )
+    return p.select("project_id", "page_index", "page_id", role.alias("role"))

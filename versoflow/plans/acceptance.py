@@ -214,3 +214,32 @@ def resolved_direction(spark, d):
     s = table(spark, d, "ocr_lines").select("id", "run_id", "height", "width").distinct().join(w, "run_id").groupBy("page_id", "engine", "direction").agg(F.when((F.count("*") >= 3) & (tall >= 0.6 * F.count("*")), "vertical").otherwise("horizontal").alias("seen"))
     said = F.countDistinct("direction")
     return s.groupBy("page_id").agg(F.count("*").alias("readers"), F.min("seen").alias("seen"), (F.countDistinct("seen") == 1).alias("same"), F.when(said > 1, "contradiction").when(said == 0, "undeclared").otherwise(F.min("direction")).alias("declared"))
+
+
+# ---------------------------------------------------------------- what the pages of a book are
+
+_HINTS = " + ".join(f"contains(tx, '{h}')::INT" for h in structure.COPYRIGHT_HINTS)
+_NOISE = structure.NOISE_IN_TITLES.replace("'", "''")
+_HEADINGS = ", ".join(f"'{h}'" for h in structure.CONTENTS_HEADINGS)
+
+
+@query(f"""WITH {ev._LABEL}{ev._RUNS}, bo AS (SELECT project_id, first_page, last_page FROM rn QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY pages DESC, first_page DESC, shift DESC, scheme) = 1),
+nw AS (SELECT r.page_id, max(r.id) AS run_id FROM run r JOIN lin l ON l.run_id = r.id WHERE scope IS NULL GROUP BY 1),
+ln AS (SELECT nw.page_id, l.line_index, l.id, trim(l.text) AS t FROM nw JOIN lin l ON l.run_id = nw.run_id WHERE trim(l.text) <> ''),
+pe AS (SELECT page_id, lower(string_agg(t, chr(10) ORDER BY line_index, id)) AS tx, list(t ORDER BY line_index, id) AS ts, count(*) AS n, count(*) FILTER (regexp_matches(t, '^(.{{2,60}}?)(?:[ .…·]{{2,}})([0-9]{{1,4}}|[ivxlc]{{1,8}})$')) AS entries,
+ max((length(t) <= 30 AND NOT regexp_matches(t, '[。，；：！？,.;:]$') AND regexp_matches(t, '^(?i:part|partie|teil) [0-9ivxIVX]+|^第[一二三四五六七八九十0-9]+部|^(?i:chapter|chapitre|kapitel) [0-9ivxIVX]+|^第[一二三四五六七八九十0-9]+章|^[0-9]+\\.[0-9]+ |^第[一二三四五六七八九十0-9]+[節节]'))::INT) AS h FROM ln GROUP BY 1),
+ik AS (SELECT page_id, max(ink_ratio) AS ink FROM page_confirmations GROUP BY 1),
+al AS (SELECT pag.id AS page_id, pag.project_id, pag.page_index, length(tx) AS characters, {_HINTS} AS hints, (len(list_filter(ts[1:3], lambda x: regexp_replace(lower(x), '{_NOISE}', '', 'g') IN ({_HEADINGS}))) > 0 OR (entries >= 3 AND 2 * entries >= n)) AS contents, h = 1 AS headed, pl.page_id IS NOT NULL AS numbered, ink, first_page, last_page
+ FROM pag LEFT JOIN pe ON pe.page_id = pag.id LEFT JOIN (SELECT DISTINCT page_id FROM pl) pl ON pl.page_id = pag.id LEFT JOIN ik ON ik.page_id = pag.id LEFT JOIN bo ON bo.project_id = pag.project_id),
+bk AS (SELECT project_id, min(page_index) AS first_of_all, min(page_index) FILTER (characters IS NOT NULL) AS first_text FROM al GROUP BY 1)
+SELECT al.project_id, page_index, page_id, CASE WHEN characters IS NULL THEN CASE WHEN coalesce(ink >= 0.02, false) THEN CASE WHEN page_index = first_of_all THEN 'cover' ELSE 'plate' END ELSE 'blank' END WHEN hints >= 2 AND NOT numbered THEN 'copyright' WHEN contents THEN 'contents'
+ WHEN page_index = first_text AND NOT numbered AND NOT headed AND (characters <= 40 OR coalesce(ink >= 0.5, false)) THEN 'cover' WHEN first_page IS NULL THEN 'unknown' WHEN page_index < first_page THEN 'front_matter' WHEN page_index <= last_page THEN 'body' ELSE 'back_matter' END AS role FROM al JOIN bk ON bk.project_id = al.project_id""")
+def book_roles(spark, d):
+    """What every page of a book is: cover, copyright, contents, front matter, body, back matter, plate, blank or unknown."""
+    placed = ev.placed_lines(spark, d)
+    whole = placed.where("scope is null")
+    last = whole.groupBy("page_id").agg(F.max("run_id").alias("run_id"))
+    labels = structure.page_labels(placed)
+    ink = table(spark, d, "page_confirmations").groupBy("page_id").agg(F.max("ink_ratio").alias("ink_ratio"))
+    evidence = structure.page_evidence(whole.join(last, ["page_id", "run_id"], "left_semi"))
+    return structure.book_roles(ev.pages(spark, d), evidence, labels, ink, structure.body_runs(structure.numbering_runs(labels)))

@@ -68,6 +68,21 @@ def event_windows(spark, d):
     return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
+@query("SELECT w AS begins, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2")
+def event_sliding(spark, d):
+    """Windows of an hour every half hour."""
+    g = table(spark, d, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.col("w.start").alias("begins"), "event_type", "n", "total")
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users, round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 0), 6) AS per_minute, max_by(event_type, (value, event_type)) FILTER (value IS NOT NULL) AS slowest FROM events GROUP BY 1""")
+def event_rates(spark, d):
+    """Events a minute between the first and the last of each day, and the kind of the greatest value."""
+    minutes = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60000000.0
+    g = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.to_date("ts").alias("day"))
+    return g.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.round(F.count("*") / F.nullif(minutes, F.lit(0.0)), 6).alias("per_minute"), F.max_by("event_type", F.when(F.col("value").isNotNull(), F.struct("value", "event_type"))).alias("slowest"))
+
+
 @query("""WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 1800 * 1000000 OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM events),
 b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM a) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS begins, max(ts) AS ends FROM b GROUP BY 1, 2""")
 def event_sessions(spark, d):
