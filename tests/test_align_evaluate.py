@@ -111,11 +111,13 @@ def test_sequences_drop_misread_labels(spark):
     assert got == {(1, 0): (1, 1000001), (1, 1): (1, 1000002), (1, 3): (1, 1000003), (1, 4): (1, 1000004), (1, 5): (2, 2000001), (1, 6): (2, 2000002)}
 
 
-def test_contents_are_anchored_by_label_then_heading(spark):
-    e = spark.createDataFrame([(1, 0, "The Garden", "12"), (1, 1, "The Sea…", "xx"), (1, 2, "Lost", None)], "project_id bigint, entry_no int, title string, label string")
-    lab = spark.createDataFrame([(1, "arabic", 12, 14)], "project_id bigint, scheme string, value int, page_index bigint")
-    hd = spark.createDataFrame([(1, 30, "THE SEA")], "project_id bigint, page_index bigint, title string")
-    assert {r.entry_no: r.page_index for r in evaluate.contents_to_pages(e, lab, hd).collect()} == {0: 14, 1: 30, 2: None}
+def test_contents_are_anchored_by_label_and_heading(spark):
+    e = spark.createDataFrame([(1, 0, "The Garden", "12"), (1, 1, "The Sea…", "xx"), (1, 2, "Lost", None), (1, 3, "The River", "3"), (1, 4, "Nowhere", "12")], "project_id bigint, entry_no int, title string, label string")
+    lab = spark.createDataFrame([(1, "arabic", 12, 14), (1, "arabic", 12, 44), (1, "arabic", 3, 5), (1, "arabic", 3, 50)], "project_id bigint, scheme string, value int, page_index bigint")
+    hd = spark.createDataFrame([(1, 30, "THE SEA"), (1, 14, "II. The Garden"), (1, 44, "Sands"), (1, 50, "Rivers")], "project_id bigint, page_index bigint, title string")
+    got = {r.entry_no: r.page_index for r in evaluate.contents_to_pages(e, lab, hd).collect()}
+    # Page 5 has the number of entry 3 and no heading; two pages have that of entry 4 and no such heading.
+    assert got == {0: 14, 1: 30, 2: None, 3: 50, 4: None}
 
 
 def test_labels(spark):

@@ -158,13 +158,24 @@ def sequences(labels: DataFrame, gap: int = 3) -> DataFrame:
 
 
 def contents_to_pages(entries: DataFrame, labels: DataFrame, headings: DataFrame) -> DataFrame:
-    """Contents entries (``project_id, entry_no, title, label``) anchored on pages: by their printed label, else by a heading that holds the title."""
+    """``project_id, entry_no, title, label, page_index``: contents entries anchored on pages, null where unmapped.
+
+    A page is a candidate if it has the printed number of the entry and a heading. Of the
+    candidates those whose heading holds the title (or the title it) decide; without one a
+    single candidate is taken. Numbers alone say little, as parts of a book begin anew.
+    An entry that no number places goes to the first page with just that heading.
+    """
     key = lambda c: F.lower(F.regexp_replace(c, r"[\s.,;:!?·…–—-]+", ""))
     e = entries.withColumn("value", lb.label_value(F.col("label"))).withColumn("scheme", lb.label_scheme(F.col("label"))).withColumn("k", key(F.col("title")))
-    by_label = e.join(labels.select("project_id", "scheme", "value", "page_index"), ["project_id", "scheme", "value"]).groupBy("project_id", "entry_no").agg(F.min("page_index").alias("by_label"))
-    by_heading = e.where(F.length("k") >= 2).join(headings.select("project_id", "page_index", key(F.col("title")).alias("k")), ["project_id", "k"]).groupBy("project_id", "entry_no").agg(F.min("page_index").alias("by_heading"))
-    j = e.join(by_label, ["project_id", "entry_no"], "left").join(by_heading, ["project_id", "entry_no"], "left")
-    return j.select("project_id", "entry_no", "title", F.coalesce("by_label", "by_heading").alias("page_index"))
+    h = headings.groupBy("project_id", "page_index").agg(F.collect_set(key(F.col("title"))).alias("hs"))
+    c = e.join(labels.select("project_id", "scheme", "value", "page_index").distinct(), ["project_id", "scheme", "value"]).join(h, ["project_id", "page_index"])
+    match = F.exists("hs", lambda x: (F.length(x) >= 2) & (F.length(F.col("k")) >= 2) & (F.contains(x, F.col("k")) | F.contains(F.col("k"), x)))
+    g = c.groupBy("project_id", "entry_no").agg(F.min(F.when(match, F.col("page_index"))).alias("sure"), F.countDistinct("page_index").alias("n"), F.min("page_index").alias("only"))
+    g = g.select("project_id", "entry_no", F.coalesce("sure", F.when(F.col("n") == 1, F.col("only"))).alias("page_index"))
+    same = headings.select("project_id", "page_index", key(F.col("title")).alias("k"))
+    by_heading = e.where(F.length("k") >= 2).join(same, ["project_id", "k"]).groupBy("project_id", "entry_no").agg(F.min("page_index").alias("by_heading"))
+    j = entries.join(g, ["project_id", "entry_no"], "left").join(by_heading, ["project_id", "entry_no"], "left")
+    return j.select("project_id", "entry_no", "title", "label", F.coalesce("page_index", "by_heading").alias("page_index"))
 
 
 def page_turns(pages: DataFrame) -> DataFrame:

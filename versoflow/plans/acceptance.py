@@ -243,3 +243,4 @@ def book_roles(spark, d):
     ink = table(spark, d, "page_confirmations").groupBy("page_id").agg(F.max("ink_ratio").alias("ink_ratio"))
     evidence = structure.page_evidence(whole.join(last, ["page_id", "run_id"], "left_semi"))
     return structure.book_roles(ev.pages(spark, d), evidence, labels, ink, structure.body_runs(structure.numbering_runs(labels)))
+
