@@ -75,9 +75,11 @@ def streak(series: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     return s.groupBy(*keys).agg(F.count("*").alias("points"), F.sum((F.col("_ok") == 0).cast("bigint")).alias("streak"), F.max_by("_d", order).alias("last_delta"))
 
 
-def inversions(lines: DataFrame, group: str, order: str, place: str, width: int = 64) -> DataFrame:
-    """Pairs of lines of a group that stand in the other order than they are numbered."""
-    a = lines.select(group, F.col(order).alias("_i"), F.col(place).alias("_p"))
-    b = lines.select(group, F.col(order).alias("_j"), F.col(place).alias("_q"))
-    hit = a.join(b, group).where("_i < _j and _p > _q").groupBy(group).agg(F.count("*").alias("inversions"))
-    return lines.groupBy(group).agg(F.count("*").alias("lines")).join(hit, group, "left").select(group, "lines", F.coalesce("inversions", F.lit(0)).alias("inversions"))
+def inversions(lines: DataFrame, group: str, order: str, place: str) -> DataFrame:
+    """Pairs of lines of a group that stand in the other order than they are numbered; a group is a page's reading.
+
+    Counted within the group's own array, so that no pair becomes a row; null places and numbers count for no pair.
+    """
+    g = lines.groupBy(group).agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.when(F.col(order).isNotNull() & F.col(place).isNotNull(), F.struct(F.col(order).alias("i"), F.col(place).alias("p"))))).alias("_l"))
+    before = F.transform("_l", lambda x: F.size(F.filter("_l", lambda y: (y["i"] < x["i"]) & (y["p"] > x["p"]))))
+    return g.select(group, "lines", F.coalesce(F.aggregate(before, F.lit(0).cast("bigint"), lambda a, n: a + n), F.lit(0)).alias("inversions"))

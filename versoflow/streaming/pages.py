@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from versoflow.operators.events import parse_events
 
+#: A page that is over is forgotten so long after its last event, by the watermark.
+FORGET_MS = 24 * 3600 * 1000
+
 PAGE_STATE = "run string, page_index int, state string, seconds double, error string"
 
 
@@ -29,9 +32,16 @@ def stage_windows(events: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 
 def page_states(events: DataFrame) -> DataFrame:
-    """Each page's state after every batch that touched it: started, finished or failed; the last end wins."""
+    """Each page's state after every batch that touched it: started, finished or failed; the last end wins.
+
+    Pages that are over leave the state ``FORGET_MS`` after their last event; started ones
+    stay until they end. ``events`` must carry a watermark on ``at``.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, kind, seconds, error = state.get if state.exists else (-1.0, "", None, None)
         for pdf in batches:
             for r in pdf.sort_values("ts", kind="stable").itertuples():
@@ -41,22 +51,31 @@ def page_states(events: DataFrame) -> DataFrame:
                     seconds = (None if pd.isna(r.elapsed_seconds) else float(r.elapsed_seconds)) if fresh else None
                     error = r.error if fresh and isinstance(r.error, str) else None
         state.update((at, kind, seconds, error))
+        if kind != "started":
+            state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs()) + FORGET_MS)
         yield pd.DataFrame([(key[0], key[1], kind, seconds, error)], columns=["run", "page_index", "state", "seconds", "error"])
 
     e = events.where("event in ('page_started', 'page_finished', 'page_failed') and page_index is not null and run is not null")
-    e = e.select("run", "page_index", "ts", "event", "elapsed_seconds", "error")
-    return e.groupBy("run", "page_index").applyInPandasWithState(step, PAGE_STATE, "at double, kind string, seconds double, error string", "update", GroupStateTimeout.NoTimeout)
+    e = e.select("run", "page_index", "ts", "at", "event", "elapsed_seconds", "error")
+    return e.groupBy("run", "page_index").applyInPandasWithState(step, PAGE_STATE, "at double, kind string, seconds double, error string", "update", GroupStateTimeout.EventTimeTimeout)
+
 
+def journal_sink(path: str, key: list[str], buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that appends rows whose key the journal lacks, so that a batch played again adds nothing.
 
-def journal_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that appends rows whose key the journal lacks, so that a batch played again adds nothing."""
+    The journal is a folder per bucket of keys (``_bucket``); a batch reads the keys of its
+    own buckets and of no others. The buckets' number is fixed when the journal begins.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(key)
         spark = batch.sparkSession
+        fresh = batch.dropDuplicates(key).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = fresh
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+            hit = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            out = fresh.join(spark.read.parquet(path).where(F.col("_bucket").isin(hit)).select(*key), key, "left_anti")
+        out.write.mode("append").partitionBy("_bucket").parquet(path)
+        fresh.unpersist()
 
     return write
