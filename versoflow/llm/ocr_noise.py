@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from versoflow.llm import page_block as block
-from versoflow.llm.lookalikes import look, vocabulary
+from versoflow.llm.lookalikes import look
 from versoflow.llm.page_block import ALONE
+from versoflow.llm.word_list import word_list
 from versoflow.session import cut_lineage, table
 
 #: Bands of the page in which furniture may stand, as shares of its height.
@@ -153,7 +154,7 @@ class LineReader:
     carries a mark in front. Runs of CJK are doubted whole and compared as triples.
     """
 
-    def __init__(self, right: frozenset[str]):
+    def __init__(self, right: Container[str]):
         self.right = right
         self.memo: dict[str, tuple[str, list[str], list[str]]] = {}
 
@@ -192,7 +193,7 @@ class LineReader:
         return s, tokens, " ".join(odd) if odd else None
 
 
-def read_lines(lines: DataFrame, right: frozenset[str]) -> DataFrame:
+def read_lines(lines: DataFrame, right: Container[str]) -> DataFrame:
     """One pass over the lines that gives rows of two kinds.
 
     With ``word`` null: a line with ``key``, ``left`` (the part before a hyphen at its
@@ -243,7 +244,7 @@ def read_lines(lines: DataFrame, right: frozenset[str]) -> DataFrame:
     return lines.select(*[F.col(c).cast("double" if c in cols[4:] else "bigint") for c in cols], "text").mapInArrow(batches, LINE_SCHEMA)
 
 
-def read_choices(decisions: DataFrame, right: frozenset[str]) -> DataFrame:
+def read_choices(decisions: DataFrame, right: Container[str]) -> DataFrame:
     """``id, page_id, pair_index, key, left, odd`` of decisions."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,11 +411,10 @@ def page_noise(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignments:
     and read in blocks of whole pages. Only edge texts, broken words and doubted words
     leave them. The cached lines are recomputed if an executor is lost.
     """
-    return _page_noise(lines, runs, pages, alignments, decisions, lexicon)[0]
+    return _page_noise(lines, runs, pages, alignments, decisions, lexicon, word_list(lexicon, str.lower))[0]
 
 
-def _page_noise(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignments: DataFrame, decisions: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
-    right = frozenset(w.lower() for w in vocabulary(lexicon))
+def _page_noise(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignments: DataFrame, decisions: DataFrame, lexicon: DataFrame, right: Container[str]) -> tuple[DataFrame, DataFrame]:
     read = read_lines(lines.where("id is not null"), right).persist()
     counts = cut_lineage(read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     li = read.where("word is null")
@@ -600,7 +600,8 @@ def page_paragraphs(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignme
     ``lines``, ``runs`` and so on are as for ``page_noise``, decisions with ``created_at``. Words of
     misread lines that one usual confusion turns into a far more frequent word are put right.
     """
-    noise, counts = _page_noise(lines, runs, pages, alignments, decisions, lexicon)
+    right = word_list(lexicon, str.lower)
+    noise, counts = _page_noise(lines, runs, pages, alignments, decisions, lexicon, right)
     noise = cut_lineage(noise)
     units = cut_lineage(_page_units(lines, runs, alignments, decisions, noise))
 
@@ -611,7 +612,6 @@ def page_paragraphs(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignme
     gives = edges.where("not (broken and instr(text, ' ') = 0)").groupBy("project_id", (F.col("page_index") - 1).alias("page_index")).agg(F.min(F.struct("page_id", F.split("text", " ")[0].alias("over"))).alias("n"))
     takes = edges.where("open").groupBy("project_id", "page_index").agg(F.min("page_id").alias("page_id")).join(gives, ["project_id", "page_index"]).select("page_id", F.col("n.over").alias("over"), F.col("n.page_id").alias("giver"))
     all_ = units.join(takes.select("page_id", "over"), "page_id", "left").join(takes.select(F.col("giver").alias("page_id"), F.lit(True).alias("taken")).distinct(), "page_id", "left")
-    right = frozenset(w.lower() for w in vocabulary(lexicon))
 
     def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[str]] = {}
@@ -622,9 +622,9 @@ def page_paragraphs(lines: DataFrame, runs: DataFrame, pages: DataFrame, alignme
                 memo.clear()
             for page, us, over, taken in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 for no, p in enumerate(join_page(us, bool(taken), over), 1):
-                    words = {w for t, suspect in p if suspect for w in _words(_seen(t.strip()) + " .")} - right
+                    words = {w for t, suspect in p if suspect for w in _words(_seen(t.strip()) + " .")}
                     for w in words - memo.keys():
-                        memo[w] = sorted(_variants(w))
+                        memo[w] = [] if w in right else sorted(_variants(w))
                     ids.append(page), nos.append(no)
                     segs.append([{"text": t, "suspect": s} for t, s in p])
                     open_.append([{"word": w, "variant": v} for w in sorted(words) for v in memo[w]])
