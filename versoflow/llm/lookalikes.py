@@ -17,6 +17,7 @@ of different length. Null gives null, empty gives empty.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from versoflow.llm.word_list import WordList, word_list
 from versoflow.session import table
 
 # Letters of other scripts and the letter they look like.
@@ -112,28 +114,61 @@ def unmatched(seen: str) -> str:
     return "".join(out)
 
 
+def _composed(word: str) -> str:
+    return unicodedata.normalize("NFC", word)
+
+
+class _Node(dict):
+    """A node of the trie: the words of a sorted list from ``lo`` to ``hi``, which begin alike. An edge is looked up in the list when it is first asked for, and null if no word goes on so."""
+
+    __slots__ = ("trie", "begin", "lo", "hi")
+
+    def __init__(self, trie: LookTrie, begin: str, lo: int, hi: int):
+        self.trie, self.begin, self.lo, self.hi = trie, begin, lo, hi
+        if lo < hi and trie.words[lo] == begin:
+            self[""] = begin
+
+    def __missing__(self, c: str) -> _Node | None:
+        words, begin = self.trie.words, self.begin + c
+        lo = bisect_left(words, begin, self.lo, self.hi)
+        hi = bisect_right(words, begin, lo, self.hi, key=lambda w: w[: len(begin)])
+        self.trie.size += 1
+        to = self[c] = _Node(self.trie, begin, lo, hi) if lo < hi else None
+        return to
+
+    def edges(self) -> Iterator[tuple[str, _Node]]:
+        """All edges with where they lead."""
+        at = self.lo + ("" in self)
+        while at < self.hi:
+            c = self.trie.words[at][len(self.begin)]
+            yield c, self[c]
+            at = self[c].hi
+
+
 class LookTrie:
     """Vocabulary words in a trie, with the weighted edit automaton that reads raw texts through it.
 
-    A character takes at no cost the edges it looks like, those of its lower case and of
-    its kana or Chinese twin; an invisible character stays where it is at no cost. Taking
-    any other edge costs 1; with ``budget`` 0, which the queries use, nothing may cost.
+    The trie is read from a sorted list of composed words; the nodes that texts come by
+    are remembered. A character takes at no cost the edges it looks like, those of its
+    lower case and of its kana or Chinese twin; an invisible character stays where it is
+    at no cost. Taking any other edge costs 1; with ``budget`` 0, which the queries use,
+    nothing may cost.
     """
 
-    #: Runs remembered in a worker; more are read anew.
+    #: Runs and edges remembered in a worker; more are read anew.
     MEMO = 200_000
 
     def __init__(self, words: Iterable[str], budget: int = 0):
-        self.root: dict = {}
+        self.words = words if isinstance(words, WordList) else sorted({_composed(w) for w in words})
         self.budget = budget
-        for w in sorted(set(words), reverse=True):  # of words of one look the first in order stays
-            node = self.root
-            for c in unicodedata.normalize("NFC", w):
-                node = node.setdefault(c, {})
-            node[""] = w
+        self._forget()
         self.edges: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.memo: dict[str, str] = {}
 
+    def _forget(self) -> None:
+        self.size = 0
+        self.root = _Node(self, "", 0, len(self.words))
+
     def _characters(self, run: str) -> list[str]:
         """The raw run cut into characters with their accents; invisible ones belong to the character before."""
         out: list[str] = []
@@ -156,9 +191,9 @@ class LookTrie:
                 self.edges[c] = got
         return got
 
-    def _walk(self, node: dict, letters: str) -> dict | None:
+    def _walk(self, node: _Node, letters: str) -> _Node | None:
         for x in letters:
-            node = node.get(x)
+            node = node[x]
             if node is None:
                 return None
         return node
@@ -168,6 +203,8 @@ class LookTrie:
         got = self.memo.get(run)
         if got is not None:
             return got
+        if self.size > self.MEMO:
+            self._forget()
         tape = [self._accepts(c) for c in self._characters(run)]
         out, rest, at, n = [], [], 0, len(tape)
         while at < n:
@@ -185,7 +222,7 @@ class LookTrie:
                         if to is not None:
                             after.append((to, path + (seen if x == seen.lower() else x), cost))  # the text's case stays
                     if cost < self.budget:
-                        after += [(to, path + x, cost + 1) for x, to in node.items() if x and x not in edges]
+                        after += [(to, path + x, cost + 1) for x, to in node.edges() if x not in edges]
                 states = after
                 done = [(cost, path) for node, path, cost in states if "" in node]
                 if done:
@@ -218,20 +255,15 @@ class LookTrie:
         return "".join(parts)
 
 
-_TRIES: dict[tuple[str, ...], LookTrie] = {}
-#: A vocabulary is sent to the workers whole, so it must be a word list and not a corpus.
-VOCABULARY_WORDS = 1_000_000
+_TRIES: dict[WordList | tuple[str, ...], LookTrie] = {}
 
 
-def vocabulary(lexicon: DataFrame) -> tuple[str, ...]:
-    """The words of a list. One of more than ``VOCABULARY_WORDS`` isn't gathered: the table then gives every form, by which equal looks are found all the same."""
-    words = lexicon.select("word").where("word is not null and word <> ''").distinct()
-    if words.count() > VOCABULARY_WORDS:
-        return ()
-    return tuple(sorted(r[0] for r in words.toLocalIterator()))
+def vocabulary(lexicon: DataFrame) -> WordList:
+    """The words of a list of any length as the trie reads them."""
+    return word_list(lexicon, _composed)
 
 
-def with_canonical(df: DataFrame, text: str, words: tuple[str, ...], to: str = "canonical") -> DataFrame:
+def with_canonical(df: DataFrame, text: str, words: WordList | tuple[str, ...], to: str = "canonical") -> DataFrame:
     """``df`` with the canonical form of a column; ASCII texts are their own and never leave the JVM's value."""
 
     @F.pandas_udf("string")
@@ -255,7 +287,7 @@ def line_records(lines: DataFrame, alignments: DataFrame, reviews: DataFrame, de
     return out.unionByName(decisions.select("page_id", "pair_index", F.lit("decision").alias("kind"), "id", F.col("selected_text").alias("text"))).where("id is not null and text is not null")
 
 
-def same_look_pairs(records: DataFrame, words: tuple[str, ...]) -> DataFrame:
+def same_look_pairs(records: DataFrame, words: WordList | tuple[str, ...]) -> DataFrame:
     """Pairs of records of one (page_id, pair_index) with one look and different characters, smaller (kind, id) first.
 
     Groups of one look in which all texts are the same are dropped before the join; what

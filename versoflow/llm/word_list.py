@@ -34,6 +34,12 @@ class WordList(Sequence):
     def __reduce__(self):
         return WordList, (self.name,)
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, WordList) and self.name == other.name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
     def _open(self) -> memoryview:
         if self._bytes is None:
             with open(SparkFiles.get(self.name), "rb") as f:
